@@ -8,11 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import latest, table
-from . import boilerplate, confusables, leakage, markup
+from . import boilerplate, confusables, languages, leakage, markup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# 1: languages of books, titles and passages
+def _books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "blocks", "doc_id", "block_id", "kind", "text"), table(spark, d, "book_meta", "doc_id", "title", "lang")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.cases(*_books(spark, d))
+
+
+def p1_books(spark: SparkSession, d: str) -> DataFrame:
+    return languages.all_books(*_books(spark, d))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(*_books(spark, d))
+
+
 # 3: lines repeated across one site's documents
 def _repeated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = table(spark, d, "blocks")
