@@ -171,6 +171,11 @@ def _main(text: str) -> str:
     return min(n, key=lambda s: (-n[s], s)) if n else ""
 
 
+def folded(text: str) -> str:
+    """One width and one kind of space, no invisible characters, accents composed; look-alikes stay."""
+    return text if text.isascii() else U.normalize("NFC", text.translate(FOLD))
+
+
 _CACHE: dict[tuple[str, str], tuple[str, bool]] = {}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import latest, table
-from . import boilerplate, confusables, languages, leakage, markup
+from . import boilerplate, confusables, languages, leakage, markup, mixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +95,29 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.by_item(_leaks(spark, d))
 
 
+# 7: mixing sources to target weights
+def _mix(spark: SparkSession, d: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixed(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets", "source", "target_share", "max_repeats"), total)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixture in which every source that has documents reaches its share."""
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p7_sized_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of a billion tokens, or what the caps on repeats allow of it; shares below target are those of short sources."""
+    return _mix(spark, d, 1_000_000_000)[0]
+
+
+def p7_sized_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, 1_000_000_000)[1]
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
