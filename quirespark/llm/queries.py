@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import latest, table
-from . import boilerplate, confusables, languages, leakage, markup, mixture
+from . import boilerplate, confusables, languages, leakage, levels, markup, mixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +118,23 @@ def p7_sized_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d, 1_000_000_000)[1]
 
 
+# 8: reading level of each document
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return levels.levels(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "level_ratings", "doc_id", "band"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("long_enough").select("doc_id", "band")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "n_chars", F.round("score", 5).alias("score"), "band", "long_enough")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return levels.profile(_levels(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
