@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import latest, table
-from . import boilerplate, confusables, languages, leakage, levels, markup, mixture
+from . import boilerplate, confusables, languages, leakage, levels, markup, mixture, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,19 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(*_books(spark, d))
 
 
+# 2: noise in text from scanned pages
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "blocks", "doc_id", "block_id", "kind", "text"), table(spark, d, "page_markers", "doc_id", "item_no", "item_type", "text", "text_level", "ingested_at"), table(spark, d, "book_meta", "doc_id", "title")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(*_scans(spark, d))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_texts(*_scans(spark, d))
+
+
 # 3: lines repeated across one site's documents
 def _repeated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = table(spark, d, "blocks")
