@@ -81,11 +81,30 @@ def _fold_table() -> dict[int, str]:
 
 
 FOLD = str.maketrans(_fold_table())
+
+
+def _class_of(codes: list[int]) -> str:
+    """A regular-expression class of the characters, as ranges."""
+    out, codes = [], sorted(codes)
+    i = 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\U{codes[i]:08x}-\\U{codes[j]:08x}")
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+#: Finds any character that folding changes, or a combining mark.
+_FOLDABLE = re.compile(_class_of([*FOLD, *range(0x300, 0x370), *range(0x1100, 0x1200), *range(0x3099, 0x309B)]))
 _TOKEN = re.compile(r"\w+")
 _LOOKALIKE = "".join(sorted(ALTERNATIVES))
 #: Where none of these stand, every token is spelled in one way only.
 _SUSPECT = re.compile("[Ͱ-ϿЀ-ԯ" + "".join(sorted(c for p in (*HAN_KANA, *KANA_KANA) for c in p)) + "]")
 _ANY = re.compile(f"[{_LOOKALIKE}]")
+#: Han look-alikes of kana change only beside kana.
+_DECIDES = re.compile("[Ͱ-ϿЀ-ԯ぀-ヿ]")
 
 
 @lru_cache(maxsize=65536)
@@ -171,12 +190,14 @@ def _main(text: str) -> str:
     return min(n, key=lambda s: (-n[s], s)) if n else ""
 
 
-def folded(text: str) -> str:
-    """One width and one kind of space, no invisible characters, accents composed; look-alikes stay."""
-    return text if text.isascii() else U.normalize("NFC", text.translate(FOLD))
+_CACHE: dict[tuple[str, str], tuple[str, bool]] = {}
 
 
-_CACHE: dict[tuple[str, str], tuple[str, bool]] = {}
+def folded(text: str) -> str:
+    """One width and one kind of space, no invisible characters, accents composed; look-alikes stay."""
+    if text.isascii() or not _FOLDABLE.search(text):
+        return text
+    return U.normalize("NFC", text.translate(FOLD))
 
 
 def consistent_form(text: str | None) -> tuple[str | None, int, int]:
@@ -185,8 +206,8 @@ def consistent_form(text: str | None) -> tuple[str | None, int, int]:
         return None, 0, 0
     if text.isascii():
         return text, 0, 0
-    t = U.normalize("NFC", text.translate(FOLD))
-    if not _SUSPECT.search(t):
+    t = folded(text)
+    if not _DECIDES.search(t) or not _SUSPECT.search(t):
         return t, 0, 0
     main, mixed, whole = _main(t), 0, 0
     out, at = [], 0
