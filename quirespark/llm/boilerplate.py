@@ -34,35 +34,27 @@ BROADCAST_KEYS = 500_000
 TITLE = "§"
 GAP = "*"
 
-_WORD = re.compile(r"\d+|[^\W\d_]+")
-_CJK = re.compile(r"([぀-ヿ㐀-䶿一-鿿]+)")
+_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
+_WORD = re.compile(r"\d+|[぀-ヿ㐀-䶿一-鿿]+|[^\W\d_぀-ヿ㐀-䶿一-鿿]+")
+_NUMBERS = re.compile(r"(?<!\S)\d+(?: \d+)*(?!\S)")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
-def tokens(line: str) -> list[str]:
-    """Words in lower case without punctuation; numbers and dates become one '0'. Han/kana runs split from other letters."""
-    out: list[str] = []
-    for w in _WORD.findall(line.lower()):
-        if w[0].isdigit():
-            if not out or out[-1] != "0":
-                out.append("0")
-        elif w.isascii():
-            out.append(w)
-        else:
-            out += [p for p in _CJK.split(w) if p]
-    return out
+def words(line: str) -> str:
+    """Words in lower case without punctuation, joined by spaces; numbers and dates become one '0'. Han and kana runs stand apart."""
+    return _NUMBERS.sub("0", " ".join(_WORD.findall(line.lower())))
 
 
 def normal_line(line: str, titles: list[str]) -> str:
-    """The line's words joined by spaces, '' if it has no letter; the book's title is one sign."""
-    norm = " ".join(tokens(line))
+    """The line's words, '' if it has no letter; the book's title is one sign."""
+    norm = words(line)
     for t in titles:
-        if t and t in norm:
+        if t in norm:
             if _CJK.search(t):
-                norm = norm.replace(t, f" {TITLE} ")
+                norm = " ".join(norm.replace(t, f" {TITLE} ").split())
             else:
-                norm = f" {norm} ".replace(f" {t} ", f" {TITLE} ")
-            norm = " ".join(norm.split())
-    return norm if re.search(r"[^\W\d_]", norm) else ""
+                norm = f" {norm} ".replace(f" {t} ", f" {TITLE} ").strip()
+    return norm if _LETTER.search(norm) else ""
 
 
 _LINES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("norm", T.StringType())]))
@@ -74,9 +66,9 @@ def _lines(texts: pd.Series, titles: pd.Series) -> pd.Series:
 
     def title(t: str) -> str:
         if t not in known:
-            if len(known) > 50_000:
+            if len(known) > 5_000:
                 known.clear()
-            known[t] = " ".join(tokens(re.sub(r"^#+\s*", "", consistent_form(t)[0])))
+            known[t] = words(re.sub(r"^#+\s*", "", consistent_form(t)[0]))
         return known[t]
 
     out = []
@@ -112,9 +104,9 @@ def _keys(norm: str) -> list:
     n = F.size(w)
     h = F.floor((n + 1) / 2).cast("int")
     return [
-        F.xxhash64(F.lit(1), n, F.slice(w, 1, F.least(n, F.lit(2))), F.slice(w, F.greatest(n - 1, F.lit(1)), F.lit(2))),
-        F.xxhash64(F.lit(2), n, F.slice(w, 1, h)),
-        F.xxhash64(F.lit(3), n, F.slice(w, F.greatest(n - h + 1, F.lit(1)), h)),
+        F.xxhash64("source", F.lit(1), n, F.slice(w, 1, F.least(n, F.lit(2))), F.slice(w, F.greatest(n - 1, F.lit(1)), F.lit(2))),
+        F.xxhash64("source", F.lit(2), n, F.slice(w, 1, h)),
+        F.xxhash64("source", F.lit(3), n, F.slice(w, F.greatest(n - h + 1, F.lit(1)), h)),
     ]
 
 
@@ -133,6 +125,13 @@ def _enough(n: str) -> Column:
     return F.greatest(F.lit(MIN_BOOKS), F.ceil(F.col(n) * MIN_SHARE - F.lit(1e-9)))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A written table in the shared folder, so that what is used twice is computed once and outlives executors."""
+    where = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast behind a check of the number of rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
@@ -145,13 +144,9 @@ def recurring(lines: DataFrame) -> DataFrame:
     2. words of the remaining lines are counted by book in their source; rare ones become gaps;
     3. forms are counted by book; a form with a gap also passes where filling the gap gives a passing form.
     """
-    spark = lines.sparkSession
-    seen = lines.select("source", "n_books", F.explode("k").alias("v")).groupBy("source", "v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
-    views = _small(seen.where(F.col("n") >= _enough("n_books")).select(F.xxhash64("source", "v").alias("sv")).distinct())
-    some = lines.withColumn("sv", F.explode(F.transform("k", lambda v: F.xxhash64(F.col("source"), v)))).join(views, "sv", "left_semi").drop("sv", "k").distinct()
-    where = f"{shared_dir(spark)}/some-{uuid4().hex}"
-    some.write.parquet(where)
-    some = spark.read.parquet(where)
+    seen = lines.select("n_books", F.explode("k").alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    views = _small(_kept(seen.where(F.col("n") >= _enough("n_books")).select("v"), "views"))
+    some = _kept(lines.withColumn("v", F.explode("k")).join(views, "v", "left_semi").drop("v", "k").distinct(), "some")
     words = some.select("*", F.posexplode(F.split("norm", " ")).alias("at", "w"))
     common = words.select("source", "n_books", "w", "doc_id").distinct().groupBy("source", "w").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
     common = common.where((F.col("n") >= _enough("n_books")) | F.col("w").isin("0", TITLE)).select("source", "w", F.lit(1).alias("keep"))
@@ -161,16 +156,15 @@ def recurring(lines: DataFrame) -> DataFrame:
     # a gap stands for a person, not for most of the line
     fixed = F.length(F.regexp_replace("form", r"[\s*]", ""))
     form = form.where(~F.col("form").contains(GAP) | (fixed * 2 >= F.col("letters"))).drop("letters")
-    where = f"{shared_dir(spark)}/forms-{uuid4().hex}"
-    form.withColumn("key", F.xxhash64("source", "form")).write.parquet(where)
-    form = spark.read.parquet(where)
+    form = _kept(form.withColumn("key", F.xxhash64("source", "form")), "forms")
     count = form.select("source", "n_books", "form", "key", "doc_id").distinct().groupBy("source", "form", "key").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    count = _kept(count, "counts")
     passing = count.where(F.col("n") >= _enough("n_books"))
     # a passing form with one run of words taken out is the same line as a form with a gap there
     gapped = passing.select("source", F.explode(_with_gap("form")).alias("form")).distinct()
     near = count.where((F.col("n") < _enough("n_books")) & F.col("form").contains(GAP)).join(gapped, ["source", "form"], "left_semi").select("key")
-    keys = passing.select("key").union(near).distinct()
-    return form.join(_small(keys), "key", "left_semi")
+    keys = _kept(passing.select("key").union(near).distinct(), "keys")
+    return _kept(form.join(_small(keys), "key", "left_semi"), "recurring")
 
 
 _FORMS = T.ArrayType(T.StringType())
@@ -265,7 +259,7 @@ def repeated(blocks: DataFrame, doc_meta: DataFrame, book_meta: DataFrame | None
     """
     lines = normal_lines(blocks, books(doc_meta, book_meta, blocks))
     rec = recurring(lines)
-    found = suffix_blocks(sequences(rec))
+    found = _kept(suffix_blocks(_kept(sequences(rec), "sequences")), "blocks")
     hit = found.select("source", F.explode("keys").alias("key")).distinct()
     # forms that pass through another form's count stand in fewer books by themselves
     near = rec.groupBy("source", "key").agg(F.first("form").alias("form")).where(F.col("form").contains(GAP)).select("source", "key")

@@ -218,7 +218,7 @@ def consistent_form(text: str | None) -> tuple[str | None, int, int]:
         hit = _CACHE.get((w, main))
         if hit is None:
             hit = _token(w, main)
-            if len(_CACHE) < 200_000:
+            if len(_CACHE) < 40_000:
                 _CACHE[(w, main)] = hit
         new, was_mixed = hit
         if new != w:
