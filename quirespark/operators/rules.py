@@ -163,6 +163,38 @@ def verse_breaks(blocks: DataFrame) -> DataFrame:
     return _patch(b, "join_lines", F.col("_n"), confidence="heuristic")
 
 
+def _joined(acc: Column, cur: Column) -> Column:
+    """One more line onto the lines so far: as the end of the last one if that was broken off, else by itself."""
+    prev = F.element_at(acc, -1)
+    s = X.strip(cur)
+    open_ = ~X.is_block_start(X.strip(prev)) & ~X.is_catalog_entry(prev) & ~X.is_note(prev) & ~X.ends_sentence(X.strip(prev)) & ~prev.endswith("  ") & (F.length(X.visible(prev)) >= X.JOIN_MIN)
+    fits = (s != "") & ~X.is_block_start(s) & ~X.is_catalog_entry(s) & ~X.is_note(s) & ~s.rlike(X.PATTERNS["start_punct"])
+    gap = F.when(prev.rlike("[A-Za-z]$") & s.rlike("^[A-Za-z]"), F.lit(" ")).otherwise(F.lit(""))
+    return F.when((F.size(acc) > 0) & open_ & fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(X.strip(prev), gap, s)))).otherwise(F.concat(acc, F.array(cur)))
+
+
+def join_lines(blocks: DataFrame) -> DataFrame:
+    """Lines of a text block that were broken off at the edge of a page or column become one line again."""
+    b = _editable(blocks).where(F.col("text").contains("\n") & (F.col("kind") == "text") & ~_verse_block())
+    lines_ = _split()
+    acc = F.aggregate(F.slice(lines_, 2, F.size(lines_)), F.slice(lines_, 1, 1), _joined)
+    b = b.withColumn("_n", F.array_join(acc, "\n")).where("_n <> text")
+    return _patch(b, "join_lines", F.col("_n"), confidence="heuristic")
+
+
+def joins_across_blocks(blocks: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, block_id, next_id, status): text blocks broken off before the next one; without evidence of the next only suggested."""
+    w = W.partitionBy("doc_id").orderBy("ord", "block_id")
+    b = blocks.where("text is not null").withColumns({"nk": F.lead("kind").over(w), "nt": F.lead("text").over(w), "next_id": F.lead("block_id").over(w), "no": F.lead("ord").over(w)})
+    last, first = F.element_at(_split(), -1), F.element_at(F.split("nt", "\n", -1), 1)
+    gap = F.greatest(F.lit(0), S.count(F.coalesce("trailer", F.lit("")), "\n") - 1)
+    j = b.where((F.col("kind") == "text") & (F.col("nk") == "text") & (gap <= 1) & (F.size(_joined(F.array(last), first)) == 1) & ~X.is_layout_line(first))
+    if linked is None:
+        return j.select("doc_id", "block_id", "next_id", F.lit("suggested").alias("status"))
+    e = linked.select("doc_id", F.col("ord").alias("no"), F.lit(True).alias("known")).distinct()
+    return j.join(e, ["doc_id", "no"], "left").select("doc_id", "block_id", "next_id", F.when(F.col("known"), "proposed").otherwise("suggested").alias("status"))
+
+
 # spacing between Han characters and others, one replacement after the other
 _CJK = r"\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}“”‘’—…"
 
@@ -171,12 +203,12 @@ def cjk_fixed(line: Column) -> Column:
     """Spaces between Han characters, and between them and digits or punctuation, go; those around Latin words stay."""
     out = line
     for a, b in ((f"[{_CJK}]", f"[{_CJK}]"), (f"[{_CJK}]", r"[\p{Nd}]"), (r"[\p{Nd}%]", f"[{_CJK}]")):
-        out = F.regexp_replace(out, f"(?<={a})[ \t\x0b\x{{a0}}\x{{3000}}]+(?={b})", "")
+        out = F.regexp_replace(out, rf"(?<={a})[ \t\x0b\x{{a0}}\x{{3000}}]+(?={b})", "")
     return out
 
 
 def cjk_spaces(blocks: DataFrame) -> DataFrame:
-    b = _editable(blocks).where(F.col("text").rlike(f"[{_CJK}][ \t\x{{3000}}]") & ~_verse_block() & (F.col("kind") != "heading"))
+    b = _editable(blocks).where(F.col("text").rlike(rf"[{_CJK}][ \t\x{{3000}}]") & ~_verse_block() & (F.col("kind") != "heading"))
     fix = lambda s: F.when(X.is_structure_line(s) | X.is_block_start(X.strip(s)) | s.contains("`") | s.contains("$"), s).otherwise(cjk_fixed(s))
     b = b.withColumn("_n", F.array_join(F.transform(_split(), fix), "\n")).where("_n <> text")
     return _patch(b, "cjk_spaces", F.col("_n"), confidence="heuristic")
@@ -219,7 +251,7 @@ def front_matter(blocks: DataFrame, titles: DataFrame, most_blocks: int = 8, mos
 
 def propose(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
     """Patches of all enabled rules on the blocks as they stand, with the rule's place in the order."""
-    made = {"page_numbers": page_numbers, "running_heads": running_heads, "cjk_spaces": cjk_spaces, "trailing_spaces": trailing_spaces, "join_lines": verse_breaks, "ocr_spaces": ocr_spaces, "headings": heading_patches, "dup_headings": duplicate_headings}
+    made = {"page_numbers": page_numbers, "running_heads": running_heads, "cjk_spaces": cjk_spaces, "trailing_spaces": trailing_spaces, "join_lines": lambda b: join_lines(b).unionByName(verse_breaks(b)), "ocr_spaces": ocr_spaces, "headings": heading_patches, "dup_headings": duplicate_headings}
     out = None
     for i, (rule, _, _) in enumerate(POLICY):
         if rule in disabled and rule not in ALWAYS_ON:
