@@ -175,7 +175,7 @@ def _joined(acc: Column, cur: Column) -> Column:
 
 def join_lines(blocks: DataFrame) -> DataFrame:
     """Lines of a text block that were broken off at the edge of a page or column become one line again."""
-    b = _editable(blocks).where(F.col("text").contains("\n") & (F.col("kind") == "text") & ~_verse_block())
+    b = _editable(blocks).where(F.col("text").contains("\n") & (F.col("kind") == "text"))
     lines_ = _split()
     acc = F.aggregate(F.slice(lines_, 2, F.size(lines_)), F.slice(lines_, 1, 1), _joined)
     b = b.withColumn("_n", F.array_join(acc, "\n")).where("_n <> text")
