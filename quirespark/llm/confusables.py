@@ -57,12 +57,14 @@ def _alternatives() -> dict[str, dict[str, str]]:
 ALTERNATIVES = _alternatives()
 
 
+#: Where the Unicode database has spaces, format characters, compatibility forms; scripts without any are left out.
+_RANGES = ((0x80, 0x3400), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x10000), (0x110BD, 0x110CE), (0x13430, 0x13440), (0x1BCA0, 0x1BCA4), (0x1D173, 0x1D17B), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
+
+
 def _fold_table() -> dict[int, str]:
     """Single characters with a plain form of the same look, from the Unicode database."""
     out: dict[int, str] = {}
-    for n in range(0x80, 0x110000):
-        if 0xAC00 <= n <= 0xD7A3 or 0x3400 <= n <= 0x9FFF or 0x17000 <= n <= 0x1F000 or 0x20000 <= n <= 0x2F7FF or n > 0x2FA1F and n < 0xE0000 or n > 0xE0FFF:
-            continue
+    for n in (n for a, b in _RANGES for n in range(a, b)):
         c = chr(n)
         cat = U.category(c)
         if cat == "Cf" or n in (0x034F, 0x115F, 0x1160, 0x3164) or 0xFE00 <= n <= 0xFE0F or 0xE0100 <= n <= 0xE01EF:
@@ -103,6 +105,8 @@ _LOOKALIKE = "".join(sorted(ALTERNATIVES))
 #: Where none of these stand, every token is spelled in one way only.
 _SUSPECT = re.compile("[Ͱ-ϿЀ-ԯ" + "".join(sorted(c for p in (*HAN_KANA, *KANA_KANA) for c in p)) + "]")
 _ANY = re.compile(f"[{_LOOKALIKE}]")
+#: The same without wide punctuation.
+_FOLDABLE_LETTERS = re.compile(_class_of([n for n in (*FOLD, *range(0x300, 0x370), *range(0x1100, 0x1200), *range(0x3099, 0x309B)) if not (0xFF01 <= n <= 0xFF0F or 0xFF1A <= n <= 0xFF20 or 0xFF3B <= n <= 0xFF40 or 0xFF5B <= n <= 0xFF65)]))
 #: Han look-alikes of kana change only beside kana.
 _DECIDES = re.compile("[Ͱ-ϿЀ-ԯ぀-ヿ]")
 
@@ -200,6 +204,13 @@ def folded(text: str) -> str:
     return U.normalize("NFC", text.translate(FOLD))
 
 
+def folded_letters(text: str) -> str:
+    """As folded, but a text in which only punctuation is wide stays as it is."""
+    if text.isascii() or not _FOLDABLE_LETTERS.search(text):
+        return text
+    return U.normalize("NFC", text.translate(FOLD))
+
+
 def consistent_form(text: str | None) -> tuple[str | None, int, int]:
     """(form, mixed-script tokens, whole-script look-alike tokens respelled); null stays null, '' stays ''."""
     if text is None:
