@@ -42,7 +42,7 @@ class Batch:
     """Features of a batch of texts."""
 
     def __init__(self, texts: list[str]):
-        u = np.frombuffer((_SEP + _SEP.join(texts) + _SEP).encode("utf-32-le", "replace"), dtype=np.uint32)
+        u = np.frombuffer(_SEP.join(["", *texts, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
         u = np.minimum(u, 65535)
         code, kind = _CODE[u], _KIND[u]
         n = len(texts)
@@ -113,17 +113,18 @@ class Batch:
         return np.concatenate([self.syntax, v], axis=1).astype(np.float32)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: steps (x from which, value), values rising."""
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pool adjacent violators: steps (least x, greatest x, value), values rising."""
     order = np.argsort(x, kind="stable")
     at: list[list[float]] = []
     for i in order:
-        at.append([float(x[i]), float(y[i]) * float(w[i]), float(w[i])])
+        at.append([float(x[i]), float(y[i]) * float(w[i]), float(w[i]), float(x[i])])
         while len(at) > 1 and at[-2][1] * at[-1][2] >= at[-1][1] * at[-2][2]:
             a = at.pop()
             at[-1][1] += a[1]
             at[-1][2] += a[2]
-    return np.array([a[0] for a in at]), np.array([a[1] / a[2] for a in at])
+            at[-1][3] = a[3]
+    return np.array([a[0] for a in at]), np.array([a[3] for a in at]), np.array([a[1] / a[2] for a in at])
 
 
 class Ranker:
@@ -143,8 +144,10 @@ class Ranker:
 
 def _learn(x: np.ndarray, y: np.ndarray, rounds: int = 70, rate: float = 0.15, shrink: float = 2e-4) -> np.ndarray:
     """Weights of the pairwise logistic ranker, by adaptive gradient steps over sampled pairs."""
-    rng = np.random.default_rng(SEED)
     n = len(y)
+    if n < 2:
+        return np.zeros(x.shape[1], dtype=np.float32)
+    rng = np.random.default_rng(SEED)
     a = np.repeat(np.arange(n), PARTNERS)
     b = rng.integers(0, n, len(a))
     keep = y[a] > y[b] + 0.25
@@ -188,7 +191,9 @@ def fit(texts: list[str], level: np.ndarray, weight: np.ndarray, folds: int = 3)
 def _steps(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(score):
         return np.zeros(1), np.zeros(1)
-    return isotonic(score, y.astype(float), w)
+    start, stop, value = isotonic(score, y.astype(float), w)
+    # flat over a step, linear between one step's end and the next one's beginning
+    return np.stack([start, stop], axis=1).ravel(), np.repeat(value, 2)
 
 
 def rated(documents: DataFrame, ratings: DataFrame) -> pd.DataFrame:

@@ -33,9 +33,9 @@ def test_held_out_accuracy(sample):
 def test_isotonic_is_least_squares():
     rng = np.random.default_rng(1)
     x, y, w = rng.normal(size=40), rng.normal(size=40), rng.random(40) + 0.1
-    at, v = L.isotonic(x, y, w)
+    at, upto, v = L.isotonic(x, y, w)
     fit = v[np.searchsorted(at, np.sort(x), side="right") - 1]
-    assert (np.diff(v) > 0).all() and len(fit) == 40
+    assert (np.diff(v) > 0).all() and len(fit) == 40 and (at <= upto).all() and (upto[:-1] <= at[1:]).all()
     # block means equal the weighted means of what they pool
     order = np.argsort(x)
     for k in np.unique(fit):
