@@ -159,5 +159,5 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, vo
     used = mix.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.max("copy").alias("most_uses"))
     facts = spark.createDataFrame([(s, w, r, *(got.get(s, (0, 0))), float(give.get(s, 0.0))) for s, (w, r) in sorted(want.items())], "source string, target_share double, max_repeats int, available_tokens long, n_docs long, quota_tokens double")
     shares = facts.join(used, "source", "left").fillna(0, ["used_tokens", "most_uses"])
-    shares = shares.withColumn("reached_share", F.round(F.col("used_tokens") / F.sum("used_tokens").over(W.partitionBy(F.lit(1))), 6))
+    shares = shares.withColumn("reached_share", F.round(F.coalesce(F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(W.partitionBy(F.lit(1)))), F.lit(0.0)), 6))
     return mix, shares
