@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..operators import align, footnotes, markdown, metadata, patches, planning, quality, rules, structure
+from ..operators import align, cache, export, footnotes, markdown, metadata, patches, planning, quality, rules, structure
 from ..streaming import events
 from ..tables import latest, source_key, table
 
@@ -379,6 +379,45 @@ def q63_event_progress(spark, d):
     return e.select("event_id", "user_id", F.max("value").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("peak"), F.row_number().over(w).alias("n"))
 
 
+# conversion and caches
+def q64_prepared(spark, d):
+    """Blocks made safe for conversion, of those that change."""
+    b = blocks(spark, d).where("text is not null")
+    return export.prepared(b.select(F.struct("doc_id", "block_id").alias("doc_id"), "text")).where("changed").select("doc_id.doc_id", "doc_id.block_id", "text")
+
+
+def q65_outline(spark, d):
+    t = documents(spark, d).where("text is not null")
+    return t.select("doc_id", export.heading_depth(F.col("text")).alias("depth"), export.inferred_title(F.col("text")).alias("title"))
+
+
+def q66_bold_lines(spark, d):
+    """Lines of blocks that name the book's title, as emphasised runs."""
+    b = blocks(spark, d).where("kind = 'text' and text is not null").select("doc_id", "block_id", "text")
+    lines = rules.lines(b).select(F.struct("doc_id", "block_id").alias("k"), "doc_id", "line_no", "line")
+    out = export.bold_lines(lines.select("doc_id", F.struct("k.block_id", "line_no").alias("line_no"), "line"), books(spark, d).where("title is not null").select("doc_id", F.col("title").alias("run")))
+    return out.where(F.col("line").startswith("**")).select("doc_id", "line_no.block_id", F.col("line_no.line_no").alias("line_no"), "line")
+
+
+def _parts(spark, d):
+    m = latest(table(spark, d, "doc_meta", "doc_id", "backend", "params_fp", "doc_variant", "total_pages", "ingested_at"), ["doc_id"])
+    return m.where("total_pages > 0 and backend is not null").select("backend", F.explode(F.sequence(F.lit(0), F.floor((F.col("total_pages") - 1) / 20).cast("int"))).alias("part"), F.col("doc_id").alias("source_fp"), F.col("doc_variant").alias("variant"), "params_fp")
+
+
+def q67_missing_parts(spark, d):
+    """Parts to submit where every third is stored, every sixth without its parameters, every fifth with others."""
+    w = _parts(spark, d)
+    k = F.col("source_fp") + F.col("part")
+    store = w.where(k % 3 == 0).withColumn("params_fp", F.when(k % 6 == 0, None).when(k % 5 == 0, "other").otherwise(F.col("params_fp")))
+    return cache.missing(w, store).select("backend", "part", "source_fp")
+
+
+def q68_part_outcomes(spark, d):
+    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+    state = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("pending")
+    return cache.outcome(e.select(F.col("user_id").alias("task"), (F.col("event_id") % 3).alias("part"), state.alias("state"), F.struct("ts", "event_id").alias("ts")))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit() and callable(f)}
 

