@@ -87,14 +87,20 @@ def _lines(texts: pd.Series, titles: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def titles_of(blocks: DataFrame, book_meta: DataFrame | None) -> DataFrame:
+    """(doc_id, titles): a book's title by its label and by its first first-level heading, two at most."""
+    order = F.col("ord") if "ord" in blocks.columns else F.col("block_id")
+    t = blocks.where((F.col("kind") == "heading") & F.col("text").rlike(r"^#\s*[^#\s]")).groupBy("doc_id").agg(F.min_by("text", order).alias("title"))
+    if book_meta is not None:
+        t = t.unionByName(book_meta.where("title is not null").groupBy("doc_id").agg(F.max("title").alias("title")))
+    return t.groupBy("doc_id").agg(F.collect_set("title").alias("titles"))
+
+
 def books(doc_meta: DataFrame, book_meta: DataFrame | None, blocks: DataFrame) -> DataFrame:
-    """(doc_id, source, titles, n_books) of books with a source; titles are the label's and the first-level headings'."""
+    """(doc_id, source, titles, n_books) of books with a source; see titles_of."""
     d = doc_meta.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(source_key("source"), F.struct(source_key("source").isNotNull(), F.col("ingested_at"))).alias("source")).where("source is not null")
     size = d.groupBy("source").agg(F.count("*").alias("n_books"))
-    heads = blocks.where((F.col("kind") == "heading") & F.col("text").rlike(r"^#\s*[^#\s]")).select("doc_id", F.col("text").alias("title"))
-    if book_meta is not None:
-        heads = heads.union(book_meta.select("doc_id", "title"))
-    t = heads.where("title is not null").distinct().groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("title")), 1, 50).alias("titles"))
+    t = titles_of(blocks, book_meta)
     return d.join(size, "source").join(t, "doc_id", "left")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
+from .boilerplate import titles_of
 from .confusables import FOLD, consistent_form
 
 LANGS = ("en", "zh", "ja", "ko", "de", "fr", "es", "pt", "ru")
@@ -412,13 +413,6 @@ def segments(blocks: DataFrame, book_meta: DataFrame) -> DataFrame:
     return each.select("doc_id", "block_id", _name("i").alias("lang"), "letters", "confidence").distinct()
 
 
-def titles_of(blocks: DataFrame, book_meta: DataFrame) -> DataFrame:
-    """(doc_id, titles): a book's titles by its label and its first-level headings."""
-    heads = blocks.where((F.col("kind") == "heading") & F.col("text").rlike(r"^#\s*[^#\s]")).select("doc_id", F.col("text").alias("title"))
-    both = heads.unionByName(book_meta.select("doc_id", "title")).where("title is not null").distinct()
-    return both.groupBy("doc_id").agg(F.collect_set("title").alias("titles"))
-
-
 @lru_cache(maxsize=20_000)
 def _title_pattern(title: str) -> re.Pattern | None:
     words = re.findall(r"[^\W_]+", consistent_form(title)[0])

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # 1: languages of books, titles and passages
 def _books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "blocks", "doc_id", "block_id", "kind", "text"), table(spark, d, "book_meta", "doc_id", "title", "lang")
+    return table(spark, d, "blocks", "doc_id", "block_id", "ord", "kind", "text"), table(spark, d, "book_meta", "doc_id", "title", "lang")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
