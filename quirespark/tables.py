@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver did; elsewhere it is installed or shipped."""
+    env = getattr(getattr(spark, "sparkContext", None), "environment", None)
+    if env is not None and _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (_ROOT, env.get("PYTHONPATH", "")) if p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, pruned to the named columns so that only they are scanned."""
+    reachable(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
