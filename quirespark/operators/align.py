@@ -6,6 +6,8 @@ monotone sequence is a fold, over one document's candidates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,33 +44,31 @@ def candidates(blocks: DataFrame, ev: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def pick_monotone(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(ord, ev_ord, tier): blocks in order take the first evidence at or after the cursor, equal anchors before beginnings."""
-    by: dict[int, list[tuple[int, int]]] = {}
-    for o, e, t in rows:
-        by.setdefault(o, []).append((t, e))
-    out, cursor = [], -1
-    for o in sorted(by):
-        ahead = sorted((t, e) for t, e in by[o] if e > cursor)
-        if ahead:
-            t, e = ahead[0]
-            cursor = e
-            out.append((o, e, t))
-    return out
-
-
-_LINK = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("ev_ord", T.IntegerType()), T.StructField("tier", T.IntegerType())])
+_LINK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("ev_ord", T.IntegerType()), T.StructField("tier", T.IntegerType())])
 
 
 def links(cands: DataFrame) -> DataFrame:
-    """(doc_id, ord, ev_ord, tier) by the monotone pick over each document's candidates."""
-    g = cands.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "ev_ord", "tier")).alias("c"))
-
-    @F.pandas_udf(T.ArrayType(_LINK))
-    def pick(cs: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("ord", "ev_ord", "tier"), x, strict=True)) for x in pick_monotone([(r["ord"], r["ev_ord"], r["tier"]) for r in c])] for c in cs], dtype=object)
-
-    return g.select("doc_id", F.explode(pick("c")).alias("l")).select("doc_id", "l.*")
+    """(doc_id, ord, ev_ord, tier) by the monotone pick.
+
+    Candidates are sorted by document, block, tier and evidence; of each block the first one beyond the cursor is
+    its link. The pick runs through the sorted rows batch by batch and holds a cursor only, however long a document is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc = block = None
+        cursor = -1
+        for b in batches:
+            out = []
+            for d, o, e, t in zip(b["doc_id"].tolist(), b["ord"].tolist(), b["ev_ord"].tolist(), b["tier"].tolist(), strict=True):
+                if d != doc:
+                    doc, block, cursor = d, None, -1
+                if o != block and e > cursor:
+                    block, cursor = o, e
+                    out.append((d, o, e, t))
+            yield pd.DataFrame(out, columns=["doc_id", "ord", "ev_ord", "tier"]).astype({"doc_id": "int64", "ord": "int32", "ev_ord": "int32", "tier": "int32"})
+
+    c = cands.select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "ev_ord", "tier").where("doc_id is not null and ord is not null and ev_ord is not null")
+    return c.repartition("doc_id").sortWithinPartitions("doc_id", "ord", "tier", "ev_ord").mapInPandas(run, _LINK)
 
 
 def short_links(blocks: DataFrame, ev: DataFrame, linked: DataFrame) -> DataFrame:

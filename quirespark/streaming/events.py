@@ -77,15 +77,26 @@ def _row(s: dict) -> dict:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """One row per task: its state after all events in order of ts (a task's events are few and bounded by its run)."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = fresh(key[0])
-        for e in pdf.sort_values("ts", kind="stable").astype(object).where(pdf.notna(), None).to_dict("records"):
-            s = step(s, e)
-        return pd.DataFrame([_row(s)])
-
-    return events.groupBy("task").applyInPandas(run, STATE)
+    """One row per task: its state after all events in order of ts.
+
+    Tasks are sorted within partitions and run through batch by batch, so that no task's events are ever held at once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s: dict | None = None
+        for b in batches:
+            out = []
+            for e in b.astype(object).where(b.notna(), None).to_dict("records"):
+                if s is None or s["task"] != e["task"]:
+                    if s is not None:
+                        out.append(_row(s))
+                    s = fresh(e["task"])
+                s = step(s, e)
+            yield pd.DataFrame(out, columns=[f.name for f in STATE.fields])
+        if s is not None:
+            yield pd.DataFrame([_row(s)])
+
+    return events.where("task is not null").repartition("task").sortWithinPartitions("task", "ts").mapInPandas(run, STATE)
 
 
 _KEPT = T.StructType([T.StructField("json", T.StringType())])

@@ -18,9 +18,28 @@ def markers(spark, rows):
     return spark.createDataFrame([(1, i, *r, DAY) for i, r in enumerate(rows)], "doc_id int, item_no int, item_type string, text string, page_idx int, text_level int, ingested_at timestamp")
 
 
-def test_pick_monotone():
-    assert A.pick_monotone([(0, 3, 1), (0, 5, 1), (1, 2, 1), (1, 4, 2), (1, 6, 1), (2, 1, 1), (3, 7, 2)]) == [(0, 3, 1), (1, 6, 1), (3, 7, 2)]
-    assert A.pick_monotone([]) == []
+def pick(rows):
+    """The pick block by block: equal anchors before beginnings, then the first evidence beyond the cursor."""
+    out, cursor = [], -1
+    for o in sorted({o for o, _, _ in rows}):
+        ahead = sorted((t, e) for x, e, t in rows if x == o and e > cursor)
+        if ahead:
+            out.append((o, ahead[0][1], ahead[0][0]))
+            cursor = ahead[0][1]
+    return out
+
+
+def test_pick_monotone(spark):
+    import random
+
+    rng = random.Random(5)
+    docs = {0: [(0, 3, 1), (0, 5, 1), (1, 2, 1), (1, 4, 2), (1, 6, 1), (2, 1, 1), (3, 7, 2)]} | {d: [(rng.randint(0, 6), rng.randint(0, 9), rng.randint(1, 2)) for _ in range(rng.randint(1, 15))] for d in range(1, 40)}
+    df = spark.createDataFrame([(d, *x) for d, xs in docs.items() for x in xs], "doc_id long, ord int, ev_ord int, tier int")
+    got = {}
+    for r in A.links(df).collect():
+        got.setdefault(r.doc_id, []).append((r.ord, r.ev_ord, r.tier))
+    assert {d: sorted(x) for d, x in got.items()} == {d: pick(xs) for d, xs in docs.items()}
+    assert A.links(df.where("false")).count() == 0
 
 
 def test_links(spark):
