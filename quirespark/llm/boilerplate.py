@@ -31,6 +31,8 @@ MIN_BOOKS, MIN_SHARE = 4, 0.2
 SKIP_KINDS = ("heading", "code", "table")
 #: Passing line keys are broadcast up to this number of rows (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_KEYS = 500_000
+#: Books (source, two titles; about 200 bytes each) are broadcast up to this number; beyond, blocks meet them by shuffle.
+BROADCAST_BOOKS = 150_000
 TITLE = "§"
 GAP = "*"
 
@@ -120,7 +122,7 @@ def normal_lines(blocks: DataFrame, of: DataFrame) -> DataFrame:
     """(doc_id, block_id, line_no, source, n_books, norm, k) of all lines with a letter; a written table in the shared folder."""
     spark = blocks.sparkSession
     b = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*SKIP_KINDS) & F.col("text").isNotNull()).select("doc_id", "block_id", "text")
-    rows = b.join(of, "doc_id").select("doc_id", "block_id", "source", "n_books", F.explode(_lines("text", "titles")).alias("l"))
+    rows = b.join(_small(of, BROADCAST_BOOKS), "doc_id").select("doc_id", "block_id", "source", "n_books", F.explode(_lines("text", "titles")).alias("l"))
     rows = rows.select("doc_id", "block_id", "source", "n_books", "l.line_no", "l.norm").withColumn("k", F.array(*_keys("norm")))
     where = f"{shared_dir(spark)}/lines-{uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(where)
@@ -138,9 +140,9 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """Broadcast behind a check of the number of rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def recurring(lines: DataFrame) -> DataFrame:
@@ -263,7 +265,7 @@ def repeated(blocks: DataFrame, doc_meta: DataFrame, book_meta: DataFrame | None
 
     Books without a source are left out; null texts have no lines; a block delivered twice gives its lines once.
     """
-    lines = normal_lines(blocks, books(doc_meta, book_meta, blocks))
+    lines = normal_lines(blocks, _kept(books(doc_meta, book_meta, blocks), "books"))
     rec = recurring(lines)
     found = _kept(suffix_blocks(_kept(sequences(rec), "sequences")), "blocks")
     hit = found.select("source", F.explode("keys").alias("key")).distinct()
