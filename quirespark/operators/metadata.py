@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -43,6 +47,31 @@ def person(c: Column) -> Column:
     return cleaned(F.regexp_replace(F.regexp_replace(cleaned(c), AUTHOR_TAIL, ""), r"^[ ，,、;；]+|[ ，,、;；]+$", ""))
 
 
+def plain_title(c: Column) -> Column:
+    """A title without spaces, quotes and separators, in lower case."""
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x{3000}《》〈〉“”‘’\"'·・:：,，.。、!！?？\-—–_/\\()（）\[\]【】]+", ""))
+
+
+@F.pandas_udf(T.DoubleType())
+def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two plain titles, 0 to 1: matching blocks, at least the share of a title contained in the other."""
+
+    def one(x: str, y: str) -> float:
+        if not x or not y:
+            return 0.0
+        ratio = SequenceMatcher(None, x, y).ratio()
+        return max(ratio, min(len(x), len(y)) / max(len(x), len(y))) if x in y or y in x else ratio
+
+    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
+def same_title(a: Column, b: Column, least: float = 0.7) -> Column:
+    """Whether two titles name one book: equal, one of at least 4 characters inside the other, or similar enough."""
+    x, y = plain_title(a), plain_title(b)
+    inside = (F.contains(x, y) | F.contains(y, x)) & (F.least(F.length(x), F.length(y)) >= 4)
+    return (x != "") & (y != "") & ((x == y) | inside | (title_similarity(x, y) >= least))
+
+
 def is_structural(c: Column) -> Column:
     plain = F.regexp_replace(c, rf"({X.WS}|[\p{{Nd}}.、,，:：])+", "")
     return plain.isin(*STRUCT_HEADINGS) | X.is_chapter_anchor(c)

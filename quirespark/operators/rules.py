@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
+from .metadata import same_title
 
 # Block kinds whose text is content as it stands.
 ATOMIC = ("code", "table", "equation", "footnote")
@@ -234,12 +235,13 @@ def front_matter(blocks: DataFrame, titles: DataFrame, most_blocks: int = 8, mos
     b = b.join(titles.select("doc_id", "title").where("title is not null").dropDuplicates(["doc_id"]), "doc_id", "left")
     first = F.col("later") == 0
     body = X.visible(F.col("text"))
-    key = F.lower(X.visible(heading_text(F.col("text"))))
+    # similarity is computed for the few blocks of the first page only
+    b = b.withColumn("same", same_title(F.when(first, heading_text(F.col("text"))), F.col("title")))
     d = b.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum(first.cast("int")).alias("run"), F.sum(F.when(first, F.length(body)).otherwise(0)).alias("chars"),
         F.max(F.when(first, (F.length(body) > 60) | X.ends_sentence(X.strip(F.col("text"))) | ~F.col("kind").isin("heading", "text")).otherwise(False)).alias("prose"),
         F.max(F.when(first & (F.col("kind") == "heading"), X.is_chapter_anchor(heading_text(F.col("text")))).otherwise(False)).alias("anchor"),
-        F.max(F.when(first, key == F.lower(X.visible(F.col("title")))).otherwise(False)).alias("match"),
+        F.max(F.when(first, F.col("same")).otherwise(False)).alias("match"),
         F.min(F.when(first, X.is_front_field(heading_text(F.col("text")))).otherwise(True)).alias("fields"),
         F.max((F.col("page_idx") > 0).cast("int")).alias("paged"),
     )

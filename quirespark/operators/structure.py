@@ -50,6 +50,22 @@ def proposed_headings(blocks: DataFrame, ev: DataFrame) -> DataFrame:
     return up.unionByName(down)
 
 
+def missing_headings(blocks: DataFrame, ev: DataFrame, linked: DataFrame) -> DataFrame:
+    """(doc_id, before_ord, title): titles of the evidence that no heading or text block carries, and the block before which they belong.
+
+    That is the first block linked to evidence after the title's own. Titles of the first page, running heads and
+    titles after which nothing is linked are left out.
+    """
+    heads = heads_by_page(ev).select("doc_id", "key")
+    t = ev.where("kind = 'heading' and text is not null and page_idx > 0").select("doc_id", "ev_ord", F.col("text").alias("title"), title_key(F.col("text")).alias("key")).where("length(key) between 1 and 40")
+    have = blocks.where("kind in ('heading', 'text') and text is not null and not contains(text, '\n')").select("doc_id", title_key(F.regexp_replace("text", r"^#+\s*", "")).alias("key")).distinct()
+    t = t.join(heads, ["doc_id", "key"], "left_anti").join(have, ["doc_id", "key"], "left_anti").groupBy("doc_id", "key").agg(F.min_by(F.struct("ev_ord", "title"), "ev_ord").alias("t")).select("doc_id", "t.*")
+    # the next link by evidence order: an as-of join by a window over titles and links together
+    both = t.select("doc_id", F.col("ev_ord").alias("e"), F.lit(0).alias("side"), "title", F.lit(None).cast("int").alias("ord")).unionByName(linked.select("doc_id", F.col("ev_ord").alias("e"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("title"), "ord"))
+    w = W.partitionBy("doc_id").orderBy("e", "side").rowsBetween(1, W.unboundedFollowing)
+    return both.withColumn("before_ord", F.first("ord", True).over(w)).where("side = 0 and before_ord is not null").select("doc_id", "before_ord", "title")
+
+
 def last_of_title(headings: DataFrame) -> DataFrame:
     """Of headings with one title key in a document, the last."""
     w = W.partitionBy("doc_id", title_key(F.col("title"))).orderBy(F.desc("ord"))

@@ -194,6 +194,10 @@ def q35_heading_proposals(spark, d):
     return structure.proposed_headings(blocks(spark, d), align.evidence(markers(spark, d)))
 
 
+def q35b_missing_headings(spark, d):
+    return structure.missing_headings(blocks(spark, d), align.evidence(markers(spark, d)), q22_links(spark, d))
+
+
 def q36_toc_entries(spark, d):
     """Over lines of which four in seven are entries by fixed arithmetic, as the documents have none."""
     n = F.col("line_no")

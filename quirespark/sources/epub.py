@@ -22,8 +22,11 @@ _LANG = re.compile(r"^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$")
 _DATE = re.compile(r"^\d{4}(-\d{2}(-\d{2}(T.*)?)?)?$")
 
 
-def check(data: bytes) -> list[tuple[str, str, str]]:
-    """(level, code, message) of every structural problem of one container."""
+def check(data: bytes, math: bool = False, footnotes: bool = False, images: int = 0) -> list[tuple[str, str, str]]:
+    """(level, code, message) of every structural problem of one container.
+
+    math, footnotes and images say what the source lets expect: formulas, notes, and so many images.
+    """
     out: list[tuple[str, str, str]] = []
     say = lambda level, code, message="": out.append((level, code, message[:200]))
     try:
@@ -100,6 +103,8 @@ def check(data: bytes) -> list[tuple[str, str, str]]:
         if empty >= max(3, -(-len(docs) // 2)):
             say("error", "chapters_empty_mass", str(empty))
     used: set[str] = set()
+    styles: set[str] = set()
+    toc_type = "{http://www.idpf.org/2007/ops}type"
 
     def follow(here: str, href: str, code: str, anchor: str | None) -> None:
         if not href or re.match(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)", href):
@@ -121,7 +126,7 @@ def check(data: bytes) -> list[tuple[str, str, str]]:
             elif tag == "a":
                 follow(here, e.get("href", ""), "link_broken", "anchor_missing")
             elif tag == "link" and e.get("rel") == "stylesheet":
-                follow(here, e.get("href", ""), "css_link_broken", None)
+                styles.add(posixpath.basename(e.get("href", "")))
     nav = next((path[k] for k, e in items.items() if "nav" in (e.get("properties") or "").split()), None)
     ncx = next((path[k] for k, e in items.items() if e.get("media-type") == MIME[".ncx"]), None)
     if nav is None and ncx is None:
@@ -129,8 +134,12 @@ def check(data: bytes) -> list[tuple[str, str, str]]:
     if nav in names:
         try:
             n = ET.fromstring(z.read(nav))
-            links = [a.get("href", "") for a in n.iterfind(".//x:nav//x:a", _NS)]
-            if not links:
+            styles |= {posixpath.basename(e.get("href", "")) for e in n.iterfind(".//x:link[@rel='stylesheet']", _NS)}
+            tocs = [e for e in n.iterfind(".//x:nav", _NS) if e.get(toc_type) == "toc"]
+            if not tocs:
+                say("warning", "nav_not_toc")
+            links = [a.get("href", "") for t in tocs for a in t.iterfind(".//x:a", _NS)]
+            if not links and any(re.fullmatch("h[1-6]", e.tag.rpartition("}")[2]) for doc in docs.values() for e in doc.iter() if isinstance(e.tag, str)):
                 say("warning", "toc_empty")
             for h in links:
                 follow(nav, h, "toc_link_broken", None)
@@ -142,9 +151,27 @@ def check(data: bytes) -> list[tuple[str, str, str]]:
                 follow(ncx, c.get("src", ""), "ncx_link_broken", None)
         except ET.ParseError as e:
             say("error", "ncx_invalid", str(e))
+    sheets = {posixpath.basename(path[k]) for k, e in items.items() if path[k].endswith(".css") and there(path[k])}
+    if not sheets:
+        say("error", "css_missing")
+    elif styles - sheets:
+        say("error", "css_link_broken", ", ".join(sorted(styles - sheets)))
+    elif not styles & sheets:
+        say("error", "css_unlinked", ", ".join(sorted(sheets)))
+    tags = [e for doc in docs.values() for e in doc.iter() if isinstance(e.tag, str)]
+    if math and not any(e.tag.endswith("}math") for e in tags):
+        say("error", "math_expected")
+    if footnotes and not any("footnote" in (e.get(toc_type) or "") for e in tags):
+        say("error", "footnotes_expected")
+    if (n_images := sum(e.tag.endswith("}img") for e in tags)) < images:
+        say("error", "images_expected", f"{n_images} of {images}")
     cover = next((path[k] for k, e in items.items() if "cover-image" in (e.get("properties") or "").split()), None)
     if cover and cover in names and cover not in used:
         say("error", "cover_unreferenced", cover)
+    elif cover:
+        first = next((i for i, (here, doc) in enumerate(docs.items()) if any(e.tag.endswith("}img") and at(e.get("src", ""), posixpath.dirname(here)) == cover for e in doc.iter() if isinstance(e.tag, str))), None)
+        if first:
+            say("warning", "cover_not_first", cover)
     for k, e in items.items():
         real = path[k] if path[k] in names else unquote(path[k])
         if (e.get("media-type") or "").startswith("image/") and real in names and real not in used and path[k] != cover:

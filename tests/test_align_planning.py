@@ -102,3 +102,5 @@ def test_structure(spark):
     assert [(r.key, r.pages) for r in ST.heads_by_page(e).collect()] == [("buch1", 4)]
     b = blocks(spark, [("text", "das haus", None), ("heading", "# Buch 1", None), ("text", "sonst", None)])
     assert {(r.block_id, r.action) for r in ST.proposed_headings(b, e).collect()} == {("b0", "promote"), ("b1", "demote")}
+    m = ST.missing_headings(b, A.evidence(markers(spark, [("title", "Neu", 2, 1), ("text", "x", 2, None), ("title", "das Haus", 3, 1), ("title", "Ende", 9, 1)])), spark.createDataFrame([(1, 2, 1)], "doc_id int, ord int, ev_ord int"))
+    assert [tuple(r) for r in m.collect()] == [(1, 2, "Neu")]

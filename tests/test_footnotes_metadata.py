@@ -56,6 +56,12 @@ def test_names(spark):
     assert [r.h for r in one(spark, [("# 前言\n## 第一章 x\n# Das Haus #\n",), ("kein",)], "s string", h=M.first_heading(c))] == ["Das Haus", None]
 
 
+def test_same_title(spark):
+    rows = [("巴勒斯坦问题", "巴勒斯坦问题：一部历史", True), ("中国", "中国哲学史", False), ("Das  Haus!", "das haus", True), ("Die alte Stadt", "Die alte Stad", True), ("Haus", "Garten", False), (None, "x", False), ("", "", False)]
+    df = spark.createDataFrame(rows, "a string, b string, w boolean")
+    assert [r.g for r in df.select(M.same_title(F.col("a"), F.col("b")).alias("g")).collect()] == [r[2] for r in rows]
+
+
 def test_precedence(spark):
     rows = [("Das Haus", "P", "F", "H"), ("扫描1", "Echt", "F", "H"), ("扫描1", "untitled", "Vorne", "H"), ("扫描1", None, None, "Kopf eins"), ("扫描1", None, None, "前言"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "stem string, pdf_title string, front_title string, heading string")

@@ -50,17 +50,17 @@ def test_written_blocks(spark, tmp_path):
     assert [r.doc_id for r in sinks.changed_only(old, spark.createDataFrame([(1, "a"), (2, "c")], "doc_id int, text string")).collect()] == [2]
 
 
-XHTML = '<html xmlns="http://www.w3.org/1999/xhtml"><head/><body>{}</body></html>'
+XHTML = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><link rel="stylesheet" href="s.css"/></head><body>{}</body></html>'
 
 
 def book(**change):
     e = {
         "mimetype": "application/epub+zip",
         "META-INF/container.xml": '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>',
-        "OEBPS/c.opf": '<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>T</dc:title><dc:language>zh-CN</dc:language><dc:identifier>i</dc:identifier><dc:date>2024-01-02</dc:date></metadata><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/><item id="p" href="p%20q.png" media-type="image/png"/></manifest><spine><itemref idref="a"/></spine></package>',
+        "OEBPS/c.opf": '<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>T</dc:title><dc:language>zh-CN</dc:language><dc:identifier>i</dc:identifier><dc:date>2024-01-02</dc:date></metadata><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/><item id="p" href="p%20q.png" media-type="image/png"/><item id="s" href="s.css" media-type="text/css"/></manifest><spine><itemref idref="a"/></spine></package>',
         "OEBPS/a.xhtml": XHTML.format('<h1 id="x">A</h1><p>text <a href="#x">l</a><br/></p><img src="p%20q.png"/>'),
-        "OEBPS/nav.xhtml": XHTML.format('<nav><a href="a.xhtml#x">A</a></nav>'),
-        "OEBPS/p q.png": "png",
+        "OEBPS/nav.xhtml": XHTML.format('<nav epub:type="toc"><a href="a.xhtml#x">A</a></nav>'),
+        "OEBPS/p q.png": "png", "OEBPS/s.css": "p {}",
     }
     e |= change
     return epub.pack([(k, v.encode()) for k, v in e.items() if v is not None])
@@ -82,11 +82,14 @@ def test_broken_containers():
         "title_missing": {"OEBPS/c.opf": opf.replace("<dc:title>T</dc:title>", "")}, "language_invalid": {"OEBPS/c.opf": opf.replace("zh-CN", "z_")}, "date_invalid": {"OEBPS/c.opf": opf.replace("2024-01-02", "gestern")},
         "manifest_missing": {"OEBPS/nav.xhtml": None}, "spine_broken": {"OEBPS/c.opf": opf.replace('idref="a"', 'idref="zz"')}, "spine_empty": {"OEBPS/c.opf": opf.replace('<itemref idref="a"/>', "")}, "xhtml_invalid": {"OEBPS/a.xhtml": "<html>"},
         "image_missing": {"OEBPS/a.xhtml": XHTML.format('x<img src="no.png"/>')}, "link_broken": {"OEBPS/a.xhtml": XHTML.format('x<a href="no.xhtml">y</a>')}, "anchor_missing": {"OEBPS/a.xhtml": XHTML.format('x<a href="#no">y</a>')},
-        "toc_link_broken": {"OEBPS/nav.xhtml": XHTML.format('<nav><a href="no.xhtml">A</a></nav>')}, "toc_empty": {"OEBPS/nav.xhtml": XHTML.format("<nav/>")}, "image_orphan": {"OEBPS/a.xhtml": XHTML.format("x")}, "empty_chapters": {"OEBPS/a.xhtml": XHTML.format("")},
+        "toc_link_broken": {"OEBPS/nav.xhtml": XHTML.format('<nav epub:type="toc"><a href="no.xhtml">A</a></nav>')}, "toc_empty": {"OEBPS/nav.xhtml": XHTML.format('<nav epub:type="toc"/>')}, "nav_not_toc": {"OEBPS/nav.xhtml": XHTML.format("<nav/>")}, "css_missing": {"OEBPS/s.css": None}, "css_link_broken": {"OEBPS/a.xhtml": XHTML.replace("s.css", "t.css").format("x")}, "image_orphan": {"OEBPS/a.xhtml": XHTML.format("x")}, "empty_chapters": {"OEBPS/a.xhtml": XHTML.format("")},
         "mime_mismatch": {"OEBPS/c.opf": opf.replace("image/png", "image/jpeg")},
     }
     for code, change in cases.items():
         assert code in codes(**change), code
+    bare = XHTML.replace('<link rel="stylesheet" href="s.css"/>', "")
+    assert "css_unlinked" in codes(**{"OEBPS/a.xhtml": bare.format("x"), "OEBPS/nav.xhtml": bare.format('<nav epub:type="toc"><a href="a.xhtml">A</a></nav>')})
+    assert {c for _, c, _ in epub.check(book(), math=True, footnotes=True, images=2)} == {"math_expected", "footnotes_expected", "images_expected"}
     assert {c for _, c, _ in epub.check(b"nope")} == {"archive_unreadable"} and {c for _, c, _ in epub.check(book()[:200])} == {"archive_unreadable"}
 
 
