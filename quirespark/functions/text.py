@@ -44,13 +44,17 @@ PATTERNS = {
 }
 
 
+_WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space on either side; a plain trim, many times quicker than a pattern."""
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def visible(c: Column) -> Column:
     """The text without any white space."""
-    return F.regexp_replace(c, f"{WS}+", "")
+    return F.translate(c, _WS_CHARS, "")
 
 
 def is_block_start(s: Column) -> Column:

@@ -151,16 +151,17 @@ def duplicate_headings(blocks: DataFrame) -> DataFrame:
 
 def verse_breaks(blocks: DataFrame) -> DataFrame:
     """Lines of verse, entries and notes that follow each other within a block get a hard break, except the last of a run."""
-    seg = _split()
-    keep = F.transform(seg, X.keeps_break)
+    lines_ = _split()
+    keep = F.transform(lines_, X.keeps_break)
+    # flags beside their lines, so that each line is judged once
+    here = F.zip_with(lines_, keep, lambda t, k: F.struct(t.alias("t"), k.alias("k")))
+    after = F.concat(F.slice(keep, F.lit(2), F.size(keep)), F.array(F.lit(False)))
 
-    def one(s: Column, i: Column) -> Column:
-        nxt = F.coalesce(F.get(keep, i + 1), F.lit(False))
-        bare = F.regexp_replace(s, "[ \t]+$", "")
-        return F.when(F.get(keep, i) & nxt & ~s.endswith("  "), F.concat(bare, F.lit("  "))).otherwise(s)
+    def one(x: Column, nxt: Column) -> Column:
+        return F.when(x["k"] & nxt & ~x["t"].endswith("  "), F.concat(F.regexp_replace(x["t"], "[ \t]+$", ""), F.lit("  "))).otherwise(x["t"])
 
     b = _editable(blocks).where(F.col("text").contains("\n"))
-    b = b.withColumn("_n", F.array_join(F.transform(seg, one), "\n")).where("_n <> text")
+    b = b.withColumn("_n", F.array_join(F.zip_with(here, after, one), "\n")).where("_n <> text")
     return _patch(b, "join_lines", F.col("_n"), confidence="heuristic")
 
 
@@ -235,16 +236,14 @@ def front_matter(blocks: DataFrame, titles: DataFrame, most_blocks: int = 8, mos
     b = b.join(titles.select("doc_id", "title").where("title is not null").dropDuplicates(["doc_id"]), "doc_id", "left")
     first = F.col("later") == 0
     body = X.visible(F.col("text"))
-    # similarity is computed for the few blocks of the first page only
-    b = b.withColumn("same", same_title(F.when(first, heading_text(F.col("text"))), F.col("title")))
-    d = b.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.sum(first.cast("int")).alias("run"), F.sum(F.when(first, F.length(body)).otherwise(0)).alias("chars"),
-        F.max(F.when(first, (F.length(body) > 60) | X.ends_sentence(X.strip(F.col("text"))) | ~F.col("kind").isin("heading", "text")).otherwise(False)).alias("prose"),
-        F.max(F.when(first & (F.col("kind") == "heading"), X.is_chapter_anchor(heading_text(F.col("text")))).otherwise(False)).alias("anchor"),
-        F.max(F.when(first, F.col("same")).otherwise(False)).alias("match"),
-        F.min(F.when(first, X.is_front_field(heading_text(F.col("text")))).otherwise(True)).alias("fields"),
-        F.max((F.col("page_idx") > 0).cast("int")).alias("paged"),
-    )
+    every = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("page_idx") > 0).cast("int")).alias("paged"))
+    # titles are compared for the few blocks of the first page only
+    d = b.where(first).withColumn("same", same_title(heading_text(F.col("text")), F.col("title"))).groupBy("doc_id").agg(
+        F.count("*").alias("run"), F.sum(F.length(body)).alias("chars"),
+        F.max((F.length(body) > 60) | X.ends_sentence(X.strip(F.col("text"))) | ~F.col("kind").isin("heading", "text")).alias("prose"),
+        F.max((F.col("kind") == "heading") & X.is_chapter_anchor(heading_text(F.col("text")))).alias("anchor"),
+        F.max("same").alias("match"), F.min(X.is_front_field(heading_text(F.col("text")))).alias("fields"),
+    ).join(every, "doc_id")
     good = (F.col("n") >= 2) & F.col("run").between(1, most_blocks) & (F.col("run") < F.col("n")) & (F.col("chars") <= most_chars) & ~F.col("prose") & ~F.col("anchor") & (F.col("paged") == 1)
     good &= F.coalesce(F.col("match"), F.lit(False)) | (F.col("fields") & (F.col("run") >= 2))
     hit = b.where(first).join(d.where(good).select("doc_id"), "doc_id", "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import align, cache, export, footnotes, markdown, metadata, patches, planning, quality, rules, structure
+from ..session import cut
 from ..streaming import events
 from ..tables import latest, source_key, table
 
@@ -71,7 +72,8 @@ def q06_blank_lines(spark, d):
 
 
 def q07_rule_stats(spark, d):
-    return rules.propose(blocks(spark, d), books(spark, d)).groupBy("step", "rule_id", "operation").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    # one written table of the blocks once each for all rules
+    return rules.propose(cut(blocks(spark, d)), books(spark, d)).groupBy("step", "rule_id", "operation").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def q08_text_features(spark, d):

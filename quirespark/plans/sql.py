@@ -241,4 +241,10 @@ SELECT l.doc_id, block_id, line_no, CASE WHEN hit THEN '**' || s || '**' ELSE li
 SELECT * FROM w WHERE NOT ((source_fp + part) % 3 = 0 AND ((source_fp + part) % 6 = 0 OR (source_fp + part) % 5 <> 0))""",
     "q68_part_outcomes": """WITH l AS (SELECT user_id AS task, event_id % 3 AS part, arg_max(CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'pending' END, ts) AS state FROM events GROUP BY 1, 2)
 SELECT task, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'pending') AS pending, CASE WHEN count(*) FILTER (state = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (state = 'done') = count(*) THEN 'done' ELSE 'pending' END AS status FROM l GROUP BY task""",
+    "q35_heading_proposals": f"""WITH {B}, {M}, {EV}, hp AS (SELECT doc_id, key FROM (SELECT doc_id, page_idx, {KEY('text')} AS key FROM ev WHERE text IS NOT NULL AND page_idx IS NOT NULL) WHERE length(key) BETWEEN 2 AND 40 GROUP BY doc_id, key HAVING count(DISTINCT page_idx) >= 3),
+t AS (SELECT DISTINCT doc_id, key FROM (SELECT doc_id, {KEY('text')} AS key FROM ev WHERE kind = 'heading' AND text IS NOT NULL AND page_idx > 0) WHERE length(key) BETWEEN 1 AND 40 AND (doc_id, key) NOT IN (SELECT doc_id, key FROM hp)),
+x AS (SELECT doc_id, block_id, kind, title, {KEY('title')} AS key FROM (SELECT doc_id, block_id, kind, {sub('text', r'^#+\s*')} AS title FROM b WHERE kind IN ('text', 'heading') AND text IS NOT NULL AND NOT contains(text, chr(10))))
+SELECT doc_id, block_id, title, 'promote' AS action FROM x WHERE kind = 'text' AND (doc_id, key) IN (SELECT doc_id, key FROM t) UNION ALL SELECT doc_id, block_id, title, 'demote' FROM x WHERE kind = 'heading' AND (doc_id, key) IN (SELECT doc_id, key FROM hp)""",
+    "q56_labels": f"""WITH {BOOKS}, x AS (SELECT doc_id, coalesce(lang, '') AS o, {strip("coalesce(lang, '')")} AS so, {', '.join(f'{count("coalesce(title, " + q("") + ")", p)} AS {n}' for n, p in (('kana', S.KANA), ('hangul', S.HANGUL), ('han', S.HAN), ('latin', S.LATIN)))} FROM bk)
+SELECT doc_id, CASE WHEN length(o) > 0 THEN CASE WHEN so = '' THEN 'zh-CN' ELSE so END ELSE coalesce(CASE WHEN kana + hangul + han + latin < 20 THEN NULL WHEN kana >= greatest(10.0, (kana + hangul + han + latin) * 0.02) THEN 'ja' WHEN hangul >= greatest(10.0, (kana + hangul + han + latin) * 0.02) THEN 'ko' WHEN han + latin = 0 THEN NULL WHEN han >= (han + latin) * 0.3 THEN 'zh-CN' WHEN latin >= (han + latin) * 0.6 THEN 'en' END, 'zh-CN') END AS lang FROM x""",
 }
