@@ -1,7 +1,7 @@
 """Cleaning rules on a table of blocks (doc_id, block_id, ord, kind, level, text, trailer, page_idx).
 
-Every rule that changes text proposes rows of patches (doc_id, block_id, ord,
-rule_id, operation, after_text, after_level, confidence, risk); rules that only
+Every rule that changes text proposes rows of patches (doc_id, block_id, ord, rule_id,
+operation, after_text, after_level, after_trailer, confidence, risk); rules that only
 need a block's own lines are projections without a shuffle, the others count or
 look at neighbours through windows by document.
 """
@@ -37,11 +37,12 @@ def _split(c: str = "text") -> Column:
     return F.split(c, "\n", -1)
 
 
-def _patch(df: DataFrame, rule: str, after: Column, level: Column | None = None, delete: Column | None = None, confidence: str = "derived") -> DataFrame:
+def _patch(df: DataFrame, rule: str, after: Column, level: Column | None = None, delete: Column | None = None, confidence: str = "derived", trailer: Column | None = None) -> DataFrame:
     gone = F.lit(False) if delete is None else delete
     return df.select(
         "doc_id", "block_id", "ord", F.lit(rule).alias("rule_id"), F.when(gone, "delete_block").otherwise("replace_text").alias("operation"),
         F.when(~gone, after).alias("after_text"), (F.lit(None).cast("int") if level is None else F.when(~gone, level.cast("int"))).alias("after_level"),
+        (F.lit(None).cast("string") if trailer is None else F.when(~gone, trailer)).alias("after_trailer"),
         F.lit(confidence).alias("confidence"), F.lit("low").alias("risk"),
     )
 
@@ -89,6 +90,11 @@ def blank_lines(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("trailer").rlike("\n{3,}")).select("doc_id", "block_id", "ord", "trailer", S.compress_blank_runs(F.col("trailer")).alias("after_trailer"))
 
 
+def blank_line_patches(blocks: DataFrame) -> DataFrame:
+    """The text stays, the trailer is compressed."""
+    return _patch(blocks.where(F.col("trailer").rlike("\n{3,}")), "blank_lines", F.col("text"), trailer=S.compress_blank_runs(F.col("trailer")))
+
+
 def heading_text(c: Column) -> Column:
     return X.strip(F.regexp_replace(X.strip(c), "^#+", ""))
 
@@ -252,15 +258,16 @@ def front_matter(blocks: DataFrame, titles: DataFrame, most_blocks: int = 8, mos
 
 def propose(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
     """Patches of all enabled rules on the blocks as they stand, with the rule's place in the order."""
-    made = {"page_numbers": page_numbers, "running_heads": running_heads, "cjk_spaces": cjk_spaces, "trailing_spaces": trailing_spaces, "join_lines": lambda b: join_lines(b).unionByName(verse_breaks(b)), "ocr_spaces": ocr_spaces, "headings": heading_patches, "dup_headings": duplicate_headings}
+    known = blocks.select("doc_id", F.lit(None).cast("string").alias("title")).limit(0) if titles is None else titles
+    made = {"page_numbers": page_numbers, "running_heads": running_heads, "front_matter": lambda b: front_matter(b, known), "cjk_spaces": cjk_spaces, "blank_lines": blank_line_patches, "trailing_spaces": trailing_spaces, "join_lines": lambda b: join_lines(b).unionByName(verse_breaks(b)), "ocr_spaces": ocr_spaces, "headings": heading_patches, "dup_headings": duplicate_headings}
     out = None
     for i, (rule, _, _) in enumerate(POLICY):
         if rule in disabled and rule not in ALWAYS_ON:
             continue
-        part = front_matter(blocks, titles) if rule == "front_matter" and titles is not None else made[rule](blocks) if rule in made else None
-        if part is not None:
-            part = part.withColumn("step", F.lit(i))
-            out = part if out is None else out.unionByName(part)
+        if rule not in made:
+            raise ValueError(f"no proposer for rule {rule}")
+        part = made[rule](blocks).withColumn("step", F.lit(i))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quirespark.operators import rules as R
@@ -112,6 +113,22 @@ def test_rules_settle(spark):
     assert R.propose(df, disabled=("trailing_spaces",)).where("rule_id = 'trailing_spaces'").count() == 1
 
 
+def test_every_rule_proposes(spark, monkeypatch):
+    full = "一二三四五六七八九十一二三四五六七八九十"
+    book = [h("Das Haus", 1, page=0), h("第一章", 2, page=1), h("第一章", 2, page=1), b("Ein Satz.   \n12\nweiter.", page=1, trailer="\n\n\n\n"), b("资本论 · 第一章\n正文一。\n正文三。", page=1), b("正文二。\n资本论 · 第一章\n正文四。", page=1), b("资本论 · 第一章", page=1), h("", 2, page=1), b("这里 用 Py Mu PDF 库，很好。", page=1), b(full + "\n下一半。", page=1)]
+    df = blocks(spark, book)
+    t = spark.createDataFrame([(0, "Das Haus")], "doc_id int, title string")
+    got = R.propose(df, t).collect()
+    assert {r.rule_id for r in got} == {r for r, _, _ in R.POLICY}
+    assert [(r.block_id, r.step, r.operation, r.after_trailer) for r in got if r.rule_id == "blank_lines"] == [("b3", 4, "replace_text", "\n\n")]
+    # the rule of title pages runs without titles too
+    fields = blocks(spark, [b("Anna Tor"), b("Verlag"), h("第一章", 2, page=1), b("Es war einmal.", page=1)])
+    assert {r.block_id for r in R.propose(fields).where("rule_id = 'front_matter'").collect()} == {r.block_id for r in R.front_matter(fields, t).collect()}
+    monkeypatch.setattr(R, "POLICY", (*R.POLICY, ("new_rule", "derived", True)))
+    with pytest.raises(ValueError):
+        R.propose(df, t)
+
+
 def test_missing_images(spark):
     refs = spark.createDataFrame([(1, "images/a.png"), (1, "b.png"), (1, "http://x/c.png"), (1, "/abs.png")], "doc_id int, image string")
     files = spark.createDataFrame([(1, "a.png")], "doc_id int, image string")
