@@ -8,12 +8,15 @@ look at neighbours through windows by document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
+from ..session import written
 from .metadata import same_title
 
 # Block kinds whose text is content as it stands.
@@ -37,18 +40,22 @@ def _split(c: str = "text") -> Column:
     return F.split(c, "\n", -1)
 
 
-def _patch(df: DataFrame, rule: str, after: Column, level: Column | None = None, delete: Column | None = None, confidence: str = "derived", trailer: Column | None = None) -> DataFrame:
+def _patch(df: DataFrame, rule: str, after: Column, level: Column | None = None, delete: Column | None = None, confidence: str = "derived") -> DataFrame:
     gone = F.lit(False) if delete is None else delete
     return df.select(
         "doc_id", "block_id", "ord", F.lit(rule).alias("rule_id"), F.when(gone, "delete_block").otherwise("replace_text").alias("operation"),
         F.when(~gone, after).alias("after_text"), (F.lit(None).cast("int") if level is None else F.when(~gone, level.cast("int"))).alias("after_level"),
-        (F.lit(None).cast("string") if trailer is None else F.when(~gone, trailer)).alias("after_trailer"),
+        F.lit(None).cast("string").alias("after_trailer"),
         F.lit(confidence).alias("confidence"), F.lit("low").alias("risk"),
     )
 
 
+def _can_edit(skip: tuple[str, ...] = ATOMIC) -> Column:
+    return ~F.coalesce(F.col("kind"), F.lit("")).isin(*skip) & F.col("text").isNotNull() & ~X.is_page_mark(F.col("text"))
+
+
 def _editable(blocks: DataFrame) -> DataFrame:
-    return blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*ATOMIC) & F.col("text").isNotNull() & ~X.is_page_mark(F.col("text")))
+    return blocks.where(_can_edit())
 
 
 def page_numbers(blocks: DataFrame) -> DataFrame:
@@ -79,9 +86,12 @@ def running_heads(blocks: DataFrame) -> DataFrame:
     return _patch(b, "running_heads", F.array_join("_k", "\n"), delete=F.size("_k") == 0)
 
 
+def _trim_text() -> Column:
+    return F.array_join(F.transform(_split(), X.strip_trailing), "\n")
+
+
 def trailing_spaces(blocks: DataFrame) -> DataFrame:
-    b = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*TRAILING_SKIP) & F.col("text").isNotNull() & ~X.is_page_mark(F.col("text")))
-    b = b.withColumn("_n", F.array_join(F.transform(_split(), X.strip_trailing), "\n")).where("_n <> text")
+    b = blocks.where(_can_edit(TRAILING_SKIP)).withColumn("_n", _trim_text()).where("_n <> text")
     return _patch(b, "trailing_spaces", F.col("_n"))
 
 
@@ -90,11 +100,6 @@ def blank_lines(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("trailer").rlike("\n{3,}")).select("doc_id", "block_id", "ord", "trailer", S.compress_blank_runs(F.col("trailer")).alias("after_trailer"))
 
 
-def blank_line_patches(blocks: DataFrame) -> DataFrame:
-    """The text stays, the trailer is compressed."""
-    return _patch(blocks.where(F.col("trailer").rlike("\n{3,}")), "blank_lines", F.col("text"), trailer=S.compress_blank_runs(F.col("trailer")))
-
-
 def heading_text(c: Column) -> Column:
     return X.strip(F.regexp_replace(X.strip(c), "^#+", ""))
 
@@ -155,8 +160,7 @@ def duplicate_headings(blocks: DataFrame) -> DataFrame:
     return _patch(b.where("at % 2 = 0"), "dup_headings", F.lit(""), delete=F.lit(True))
 
 
-def verse_breaks(blocks: DataFrame) -> DataFrame:
-    """Lines of verse, entries and notes that follow each other within a block get a hard break, except the last of a run."""
+def _break_text() -> Column:
     lines_ = _split()
     keep = F.transform(lines_, X.keeps_break)
     # flags beside their lines, so that each line is judged once
@@ -166,8 +170,13 @@ def verse_breaks(blocks: DataFrame) -> DataFrame:
     def one(x: Column, nxt: Column) -> Column:
         return F.when(x["k"] & nxt & ~x["t"].endswith("  "), F.concat(F.regexp_replace(x["t"], "[ \t]+$", ""), F.lit("  "))).otherwise(x["t"])
 
+    return F.array_join(F.zip_with(here, after, one), "\n")
+
+
+def verse_breaks(blocks: DataFrame) -> DataFrame:
+    """Lines of verse, entries and notes that follow each other within a block get a hard break, except the last of a run."""
     b = _editable(blocks).where(F.col("text").contains("\n"))
-    b = b.withColumn("_n", F.array_join(F.zip_with(here, after, one), "\n")).where("_n <> text")
+    b = b.withColumn("_n", _break_text()).where("_n <> text")
     return _patch(b, "join_lines", F.col("_n"), confidence="heuristic")
 
 
@@ -181,12 +190,15 @@ def _joined(acc: Column, cur: Column) -> Column:
     return F.when((F.size(acc) > 0) & open_ & fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(X.strip(prev), gap, s)))).otherwise(F.concat(acc, F.array(cur)))
 
 
+def _join_text() -> Column:
+    lines_ = _split()
+    return F.array_join(F.aggregate(F.slice(lines_, 2, F.size(lines_)), F.slice(lines_, 1, 1), _joined), "\n")
+
+
 def join_lines(blocks: DataFrame) -> DataFrame:
     """Lines of a text block that were broken off at the edge of a page or column become one line again."""
     b = _editable(blocks).where(F.col("text").contains("\n") & (F.col("kind") == "text"))
-    lines_ = _split()
-    acc = F.aggregate(F.slice(lines_, 2, F.size(lines_)), F.slice(lines_, 1, 1), _joined)
-    b = b.withColumn("_n", F.array_join(acc, "\n")).where("_n <> text")
+    b = b.withColumn("_n", _join_text()).where("_n <> text")
     return _patch(b, "join_lines", F.col("_n"), confidence="heuristic")
 
 
@@ -215,23 +227,36 @@ def cjk_fixed(line: Column) -> Column:
     return out
 
 
-def cjk_spaces(blocks: DataFrame) -> DataFrame:
-    b = _editable(blocks).where(F.col("text").rlike(rf"[{_CJK}][ \t\x{{3000}}]") & ~_verse_block() & (F.col("kind") != "heading"))
+def _may_space() -> Column:
+    return F.col("text").rlike(rf"[{_CJK}][ \t\x{{3000}}]") & ~_verse_block() & (F.col("kind") != "heading")
+
+
+def _space_text() -> Column:
     fix = lambda s: F.when(X.is_structure_line(s) | X.is_block_start(X.strip(s)) | s.contains("`") | s.contains("$"), s).otherwise(cjk_fixed(s))
-    b = b.withColumn("_n", F.array_join(F.transform(_split(), fix), "\n")).where("_n <> text")
+    return F.array_join(F.transform(_split(), fix), "\n")
+
+
+def cjk_spaces(blocks: DataFrame) -> DataFrame:
+    b = _editable(blocks).where(_may_space()).withColumn("_n", _space_text()).where("_n <> text")
     return _patch(b, "cjk_spaces", F.col("_n"), confidence="heuristic")
 
 
-def ocr_spaces(blocks: DataFrame) -> DataFrame:
-    """In lines with Han characters, three or more Latin pieces of at most four letters, two of them short, become one word."""
-    b = _editable(blocks).where(F.col("text").rlike(r"[\x{4e00}-\x{9fff}]") & F.col("text").rlike(r"\b[A-Za-z]{1,4}(?: [A-Za-z]{1,4}){2,}\b"))
+def _may_close() -> Column:
+    return F.col("text").rlike(r"[\x{4e00}-\x{9fff}]") & F.col("text").rlike(r"\b[A-Za-z]{1,4}(?: [A-Za-z]{1,4}){2,}\b")
 
+
+def _close_text() -> Column:
     def fix(s: Column) -> Column:
         runs = F.regexp_extract_all(s, F.lit(r"\b([A-Za-z]{1,4}(?: [A-Za-z]{1,4}){2,})\b"), F.lit(1))
         good = F.filter(runs, lambda r: (F.size(F.filter(F.split(r, " "), lambda p: F.length(p) <= 2)) >= 2) & F.exists(F.split(r, " "), lambda p: F.length(p) >= 3))
         return F.when(~s.rlike(r"[\x{4e00}-\x{9fff}]") | X.is_structure_line(s), s).otherwise(F.aggregate(good, s, lambda acc, r: F.replace(acc, r, F.replace(r, F.lit(" "), F.lit("")))))
 
-    b = b.withColumn("_n", F.array_join(F.transform(_split(), fix), "\n")).where("_n <> text")
+    return F.array_join(F.transform(_split(), fix), "\n")
+
+
+def ocr_spaces(blocks: DataFrame) -> DataFrame:
+    """In lines with Han characters, three or more Latin pieces of at most four letters, two of them short, become one word."""
+    b = _editable(blocks).where(_may_close()).withColumn("_n", _close_text()).where("_n <> text")
     return _patch(b, "ocr_spaces", F.col("_n"), confidence="heuristic")
 
 
@@ -256,19 +281,110 @@ def front_matter(blocks: DataFrame, titles: DataFrame, most_blocks: int = 8, mos
     return _patch(hit, "front_matter", F.lit(""), delete=F.lit(True))
 
 
+_MADE = "array<struct<step:int,rule_id:string,operation:string,after_text:string,after_level:int,after_trailer:string,confidence:string,risk:string>>"
+
+
+def _step(state: DataFrame, i: int, after: Column, delete: Column | None = None, trailer: Column | None = None) -> DataFrame:
+    """The state after one rule: where ``after`` is not null or ``delete`` holds, a patch is noted and applied; a deleted block is a row without text, kind and trailer."""
+    rule, confidence, _ = POLICY[i]
+    s = state.withColumn("_n", after).withColumn("_g", F.lit(False) if delete is None else F.coalesce(delete, F.lit(False)))
+    s = s.withColumn("_t", F.lit(None).cast("string") if trailer is None else F.when(~F.col("_g"), trailer))
+    hit = F.col("_g") | F.col("_n").isNotNull() | F.col("_t").isNotNull()
+    text = F.when(~F.col("_g"), F.coalesce("_n", "text"))
+    patch = F.struct(
+        F.lit(i).alias("step"), F.lit(rule).alias("rule_id"), F.when(F.col("_g"), "delete_block").otherwise("replace_text").alias("operation"), text.alias("after_text"),
+        F.lit(None).cast("int").alias("after_level"), F.col("_t").alias("after_trailer"), F.lit(confidence).alias("confidence"), F.lit("low").alias("risk"),
+    )
+    s = s.withColumn("made", F.when(hit, F.concat("made", F.array(patch))).otherwise(F.col("made")))
+    kept = {c: F.when(~F.col("_g"), F.col(c)) for c in ("kind", "level")}
+    return s.withColumns({"text": text, "trailer": F.when(~F.col("_g"), F.coalesce("_t", "trailer")), **kept}).drop("_n", "_g", "_t")
+
+
+def _changed(state: DataFrame, i: int, where: Column, after: Column) -> DataFrame:
+    """The state after a rule of a block's own lines that gives a new text."""
+    s = state.withColumn("_a", F.when(where, after))
+    return _step(s, i, F.when(F.col("_a") != F.col("text"), F.col("_a"))).drop("_a")
+
+
+def _cut_lines(state: DataFrame, i: int, where: Column, kept: Column) -> DataFrame:
+    """The state after a rule that drops lines."""
+    s = state.withColumn("_k", F.when(where, kept))
+    less = F.coalesce(F.col("_k").isNotNull() & (F.size("_k") < F.size(_split())), F.lit(False))
+    return _step(s, i, F.when(less & (F.size("_k") > 0), F.array_join("_k", "\n")), less & (F.size("_k") == 0)).drop("_k")
+
+
+def _joined_and_broken(state: DataFrame, i: int) -> DataFrame:
+    """join_lines is one patch: lines joined first, then hard breaks between the lines of verse that are left."""
+    s = state.withColumn("_old", F.col("text"))
+    s = s.withColumn("text", F.when(_can_edit() & F.col("text").contains("\n") & (F.col("kind") == "text"), _join_text()).otherwise(F.col("text")))
+    s = s.withColumn("_v", F.when(_can_edit() & F.col("text").contains("\n"), _break_text()).otherwise(F.col("text"))).withColumn("text", F.col("_old"))
+    return _step(s, i, F.when(F.col("_v") != F.col("text"), F.col("_v"))).drop("_v", "_old")
+
+
 def propose(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Patches of all enabled rules on the blocks as they stand, with the rule's place in the order."""
+    """Patches of all enabled rules, each rule on what the rules before it left, with the rule's place in the order.
+
+    Rules of a block's own lines follow each other within the row; the state is written where a rule
+    that looks at the whole document reads it more than once.
+    """
     known = blocks.select("doc_id", F.lit(None).cast("string").alias("title")).limit(0) if titles is None else titles
-    made = {"page_numbers": page_numbers, "running_heads": running_heads, "front_matter": lambda b: front_matter(b, known), "cjk_spaces": cjk_spaces, "blank_lines": blank_line_patches, "trailing_spaces": trailing_spaces, "join_lines": lambda b: join_lines(b).unionByName(verse_breaks(b)), "ocr_spaces": ocr_spaces, "headings": heading_patches, "dup_headings": duplicate_headings}
-    out = None
+    none = F.array().cast(_MADE)
+    out: list[DataFrame] = []
+
+    def settled(b: DataFrame) -> DataFrame:
+        """The state written; what its rows have noted so far is given out."""
+        b = written(b)
+        out.append(b.where("size(made) > 0").select("doc_id", "block_id", "ord", F.explode("made").alias("m")).select("doc_id", "block_id", "ord", "m.rule_id", "m.operation", "m.after_text", "m.after_level", "m.after_trailer", "m.confidence", "m.risk", "m.step"))
+        return b.withColumn("made", none)
+
+    def noted(b: DataFrame, patches: DataFrame, i: int) -> DataFrame:
+        """The state after patches of few blocks."""
+        p = patches.select("doc_id", "block_id", F.lit(True).alias("_hit"), F.col("operation").alias("_op"), F.col("after_text").alias("_x"), F.col("after_level").alias("_l"))
+        s = b.join(p, ["doc_id", "block_id"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        gone = F.col("_hit") & (F.col("_op") == "delete_block")
+        out.append(patches.withColumn("step", F.lit(i)))
+        return s.withColumns({
+            "text": F.when(gone, None).when(F.col("_hit"), F.col("_x")).otherwise(F.col("text")), "trailer": F.when(~gone, F.col("trailer")),
+            "kind": F.when(~gone, F.col("kind")), "level": F.when(~gone, F.coalesce("_l", "level")),
+        }).drop("_hit", "_op", "_x", "_l")
+
+    def heads_gone(b: DataFrame, i: int) -> DataFrame:
+        heads = repeated_heads(b).groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
+        kept = F.filter(_split(), lambda s: ~F.array_contains("heads", X.strip(s)))
+        return _cut_lines(b.join(heads, "doc_id", "left"), i, _can_edit() & ~_verse_block() & F.col("heads").isNotNull(), kept).drop("heads")
+
+    def front_gone(b: DataFrame, i: int) -> DataFrame:
+        b = settled(b)
+        return noted(b, written(front_matter(b, known)), i)
+
+    def levels_set(b: DataFrame, i: int) -> DataFrame:
+        b = settled(b)
+        return noted(b, written(heading_patches(b)), i)
+
+    def doubles_gone(b: DataFrame, i: int) -> DataFrame:
+        return noted(b, written(duplicate_headings(b)), i)
+
+    made = {
+        "page_numbers": lambda b, i: _cut_lines(b, i, _can_edit(), F.filter(_split(), lambda s: ~X.is_page_number(s))),
+        "running_heads": heads_gone, "front_matter": front_gone,
+        "cjk_spaces": lambda b, i: _changed(b, i, _can_edit() & _may_space(), _space_text()),
+        "blank_lines": lambda b, i: _step(b, i, F.lit(None).cast("string"), trailer=F.when(F.col("trailer").rlike("\n{3,}"), S.compress_blank_runs(F.col("trailer")))),
+        "trailing_spaces": lambda b, i: _changed(b, i, _can_edit(TRAILING_SKIP), _trim_text()),
+        "join_lines": _joined_and_broken,
+        "ocr_spaces": lambda b, i: _changed(b, i, _can_edit() & _may_close(), _close_text()),
+        "headings": levels_set, "dup_headings": doubles_gone,
+    }
+    state, within = blocks.withColumn("made", none), False
     for i, (rule, _, _) in enumerate(POLICY):
         if rule in disabled and rule not in ALWAYS_ON:
             continue
         if rule not in made:
             raise ValueError(f"no proposer for rule {rule}")
-        part = made[rule](blocks).withColumn("step", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+        state = made[rule](state, i)
+        within = rule not in ("front_matter", "headings", "dup_headings")
+    if within:
+        settled(state)
+    return reduce(DataFrame.unionByName, out)
 
 
 def missing_images(refs: DataFrame, files: DataFrame | None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
     return df.checkpoint(eager)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: smaller on disk than a checkpoint."""
+    where = f"{shared_dir(df.sparkSession)}/rows-{uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)

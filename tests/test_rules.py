@@ -129,6 +129,26 @@ def test_every_rule_proposes(spark, monkeypatch):
         R.propose(df, t)
 
 
+def test_rules_follow_each_other(spark):
+    full = "一二三四五六七八九十一二三四五六七八九十"
+    df = blocks(
+        spark,
+        [b(full + "\n12\n下一半。"), b("7"), b("白日依山尽   \n黄河入海流")],
+        [h("卷首", 3), b("3", trailer="\n\n"), h("卷首", 3), b("a\n5\nb", trailer="\n\n\n\n")],
+    )
+    got = {(r.doc_id, r.block_id, r.rule_id): (r.operation, r.after_text) for r in R.propose(df).collect()}
+    # a page number inside a broken paragraph goes first, then its two halves are one line
+    assert got[0, "b0", "page_numbers"] == ("replace_text", full + "\n下一半。") and got[0, "b0", "join_lines"] == ("replace_text", full + "下一半。")
+    # trailing spaces go before verse gets its breaks
+    assert got[0, "b2", "trailing_spaces"] == ("replace_text", "白日依山尽\n黄河入海流") and got[0, "b2", "join_lines"] == ("replace_text", "白日依山尽  \n黄河入海流")
+    # a deleted block has no more patches, and its neighbours meet
+    assert [k[2] for k in got if k[:2] == (0, "b1")] == ["page_numbers"]
+    assert got[1, "b1", "page_numbers"] == ("delete_block", None) and got[1, "b2", "dup_headings"] == ("delete_block", None)
+    # a patch of the trailer carries the text that the rules before it left
+    assert got[1, "b3", "blank_lines"] == ("replace_text", "a\nb")
+    assert {r.rule_id for r in R.propose(df, disabled=tuple(r for r, _, _ in R.POLICY)).collect()} == {"blank_lines", "trailing_spaces"}
+
+
 def test_missing_images(spark):
     refs = spark.createDataFrame([(1, "images/a.png"), (1, "b.png"), (1, "http://x/c.png"), (1, "/abs.png")], "doc_id int, image string")
     files = spark.createDataFrame([(1, "a.png")], "doc_id int, image string")
