@@ -107,14 +107,21 @@ def books(doc_meta: DataFrame, book_meta: DataFrame | None, blocks: DataFrame) -
 
 
 def _keys(norm: str) -> list:
-    """Three views of a line of which a repeated line with one varying part keeps at least one."""
+    """Views of a line of which lines with one varying part, of any number of words, share at least one.
+
+    What is fixed has two words at one end, or one at each, or is a single end word; such a word holds half of
+    the letters in every line that can pass (see recurring). The others of the last two views are null.
+    """
     w = F.split(F.col(norm), " ")
     n = F.size(w)
-    h = F.floor((n + 1) / 2).cast("int")
+    first, last = F.element_at(w, 1), F.element_at(w, -1)
+    half = F.length(F.replace(norm, F.lit(" ")))
     return [
-        F.xxhash64("source", F.lit(1), n, F.slice(w, 1, F.least(n, F.lit(2))), F.slice(w, F.greatest(n - 1, F.lit(1)), F.lit(2))),
-        F.xxhash64("source", F.lit(2), n, F.slice(w, 1, h)),
-        F.xxhash64("source", F.lit(3), n, F.slice(w, F.greatest(n - h + 1, F.lit(1)), h)),
+        F.xxhash64("source", F.lit(1), F.slice(w, 1, 2)),
+        F.xxhash64("source", F.lit(2), F.slice(w, F.greatest(n - 1, F.lit(1)), F.lit(2))),
+        F.xxhash64("source", F.lit(3), first, last),
+        F.when(F.length(first) * 2 >= half, F.xxhash64("source", F.lit(4), first)),
+        F.when((F.length(last) * 2 >= half) & (n > 1), F.xxhash64("source", F.lit(5), last)),
     ]
 
 
@@ -123,7 +130,7 @@ def normal_lines(blocks: DataFrame, of: DataFrame) -> DataFrame:
     spark = blocks.sparkSession
     b = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*SKIP_KINDS) & F.col("text").isNotNull()).select("doc_id", "block_id", "text")
     rows = b.join(_small(of, BROADCAST_BOOKS), "doc_id").select("doc_id", "block_id", "source", "n_books", F.explode(_lines("text", "titles")).alias("l"))
-    rows = rows.select("doc_id", "block_id", "source", "n_books", "l.line_no", "l.norm").withColumn("k", F.array(*_keys("norm")))
+    rows = rows.select("doc_id", "block_id", "source", "n_books", "l.line_no", "l.norm").withColumn("k", F.array_compact(F.array(*_keys("norm"))))
     where = f"{shared_dir(spark)}/lines-{uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(where)
     return spark.read.parquet(where)

@@ -75,3 +75,11 @@ def test_small_sources_and_nulls(spark):
     b, m = _books(spark, {d: ["same line here"] for d in range(6)})
     assert B.repeated(b, m.selectExpr("doc_id", "cast(null as string) source", "ingested_at"))[0].count() == 0
     assert B.repeated(b.where("false"), m)[0].count() == 0
+
+
+def test_names_of_any_length(spark):
+    # two books for each number of words of the name; the line as a whole stands in all ten
+    texts = {d: ["Edited with great care by " + " ".join(chr(97 + d) * 3 + chr(110 + k) for k in range(d // 2 + 1)), f"Redakteurin {chr(97 + d) * 3}" + (f" {chr(97 + d) * 4}" if d % 2 else ""), " ".join(chr(97 + d) * k for k in range(3, 9))] for d in range(10)}
+    b, m = _books(spark, texts)
+    lines, _ = B.repeated(b, m)
+    assert {tuple(r[:3]) for r in lines.collect()} == {(d, x, 1) for d in range(10) for x in ("b0", "b1")}
