@@ -7,6 +7,7 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -50,3 +51,13 @@ def written(df: DataFrame) -> DataFrame:
     where = f"{shared_dir(df.sparkSession)}/rows-{uuid4().hex}"
     df.write.parquet(where)
     return df.sparkSession.read.parquet(where)
+
+
+#: What is broadcast after a check holds at most so many bytes, written out as JSON.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast behind a check of the size in bytes; beyond it the join shuffles. Give it a written table, as the check reads it once."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
