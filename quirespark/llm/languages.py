@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import shared_dir, small, written
 from .boilerplate import titles_of
 from .confusables import FOLD, consistent_form
 
@@ -32,14 +32,14 @@ BITS = 15
 FEATURES = 1 << 15
 #: Bound of the labelled sample that the classifiers are fitted on, in blocks.
 MAX_TRAIN = 20_000
-#: Blocks found with a foreign sentence are broadcast up to this number of rows.
-BROADCAST_ROWS = 400_000
 #: Steepness of the loss in the averaged log-odds, and of the confidence in the loss.
 STEEP, SHARP = 4.0, 1.5
 #: Step of the gradient rounds.
 RATE = 0.12
 #: Confidence from which on a sentence or title counts as being in its language.
 SURE, SURE_TITLE = 0.8, 0.6
+#: A Han, kana or hangul letter says about as much as so many alphabetic ones.
+WIDE_WEIGHT = 3
 #: Letters of a full sentence: alphabetic, and Han, kana or hangul.
 FULL, FULL_WIDE = 12, 6
 
@@ -95,7 +95,7 @@ def codewords(seed: int = 5, tries: int = 4000) -> np.ndarray:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each 16-bit code point: its folded lower-case letter or 32; its class (0 other, 1 letter, 2 wide letter, 3 ., 4 sure end, 5 !?, 6 digit, 7 line end)."""
+    """For each 16-bit code point: its folded lower-case letter or 32; its class (0 other, 1 letter, 2 wide letter, 3 ., 4 sure end, 5 !?, 6 digit, 7 line end, 8 sign after which a sentence goes on)."""
     code = np.full(65536, 32, dtype=np.uint32)
     kind = np.zeros(65536, dtype=np.uint8)
     for n in range(65536):
@@ -116,10 +116,16 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
             kind[n] = 5
     for c in "。｡！？…":
         kind[ord(c)] = 4
+    for c in _SOFT:
+        kind[ord(c)] = 8
     kind[10] = 7
     return code, kind
 
 
+#: Signs at a line's end after which its sentence goes on in the next line: spaces, commas, and the hyphens of broken words.
+_SOFT = " \t,;，、；-‐‑–¬\xad="
+
+
 _CODE, _KIND = _tables()
 _SEP = "\x01"
 
@@ -151,7 +157,7 @@ class Sentences:
         line = np.flatnonzero(kind == 7)
         if len(line):
             closed = (prev[line] == 0) | (prev[line] == 7)
-            opens = nxt[line] == 0
+            opens = (nxt[line] == 0) | (nxt[line] == 8)
             part = line[closed | opens]
         else:
             part = line
@@ -213,14 +219,18 @@ class Model:
         best = p.argmax(axis=1)
         return best, p[np.arange(len(p)), best]
 
+    def whole(self, texts: list[str]) -> list[tuple[str | None, float, bool]]:
+        """(language, confidence, ambiguous) of each short text as one piece; a text without letters has no language."""
+        s = Sentences(texts)
+        x, n = np.zeros((len(texts), BITS)), np.zeros(len(texts))
+        if len(s.letters):
+            np.add.at(x, s.owner, s.scores(self.weights) * s.letters[:, None])
+            np.add.at(n, s.owner, s.letters)
+        k, c = self.decode((x / np.maximum(1, n)[:, None]).astype(np.float32))
+        return [(LANGS[int(k[i])], float(c[i]), bool(c[i] < SURE_TITLE)) if n[i] else (None, 0.0, True) for i in range(len(texts))]
+
     def one(self, text: str) -> tuple[str | None, float, bool]:
-        """(language, confidence, ambiguous) of a whole short text."""
-        s = Sentences([text])
-        if not len(s.letters):
-            return None, 0.0, True
-        x = (s.scores(self.weights) * s.letters[:, None]).sum(axis=0, keepdims=True) / s.letters.sum()
-        k, c = self.decode(x)
-        return LANGS[int(k[0])], float(c[0]), bool(c[0] < SURE_TITLE)
+        return self.whole([text])[0]
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
@@ -344,9 +354,9 @@ _KINDS = ("code", "equation", "table", "image")
 
 
 def book_languages(scored: DataFrame) -> DataFrame:
-    """(doc_id, lang, confidence): the language of most letters of the book's text, and its share of them."""
+    """(doc_id, lang, confidence): the language of most of the book's text, and its share; a wide letter weighs WIDE_WEIGHT."""
     use = scored.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*_KINDS))
-    sums = use.groupBy("doc_id").agg(*[F.sum(F.col("letters")[i]).alias(k) for i, k in enumerate(LANGS)])
+    sums = use.groupBy("doc_id").agg(*[(F.sum(F.col("letters")[i]) * (WIDE_WEIGHT if k in ("zh", "ja", "ko") else 1)).alias(k) for i, k in enumerate(LANGS)])
     best = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("lang")) for k in LANGS])
     total = sum((F.col(k) for k in LANGS[1:]), F.col(LANGS[0]))
     return sums.select("doc_id", best.alias("b"), total.alias("total")).where("total > 0").select("doc_id", F.col("b.lang").alias("lang"), F.round(F.col("b.n") / F.col("total"), 4).alias("confidence"))
@@ -361,7 +371,7 @@ def _title_udf(shared):
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def run(titles: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.one(consistent_form(t)[0]) if isinstance(t, str) else (None, 0.0, True) for t in titles], columns=["lang", "confidence", "ambiguous"])
+        return pd.DataFrame(shared.value.whole([consistent_form(t)[0] if isinstance(t, str) else "" for t in titles]), columns=["lang", "confidence", "ambiguous"])
 
     return F.pandas_udf(run, schema)
 
@@ -377,9 +387,11 @@ def _labels(book_meta: DataFrame) -> DataFrame:
 
 
 def cases(blocks: DataFrame, book_meta: DataFrame) -> DataFrame:
-    """(doc_id, block_id, lang): wrong or missing labels (block_id ''), titles ('title') and passages in another language.
+    """(doc_id, block_id, lang): wrong or missing labels (block_id ''), titles ('title') and blocks with passages in another language.
 
-    Books without any letter in their blocks have no language and give no rows.
+    A block with a full sentence in another language than the book's gives one row for each language that has a
+    full sentence in it, the book's own among them. Books without any letter in their blocks have no language
+    and give no rows.
     """
     model = trained(blocks, book_meta)
     scored = block_languages(blocks, model)
@@ -388,13 +400,12 @@ def cases(blocks: DataFrame, book_meta: DataFrame) -> DataFrame:
     wrong = of.where("label is null or label <> book").select("doc_id", F.lit("").alias("block_id"), F.col("book").alias("lang"))
     t = titles(book_meta, model).where("not ambiguous").join(book, "doc_id").where("lang <> book").select("doc_id", F.lit("title").alias("block_id"), "lang")
     inside = scored.where(~F.coalesce(F.col("kind"), F.lit("")).isin("heading", *_KINDS)).select("doc_id", "block_id", F.explode("full").alias("lang"))
-    foreign = inside.join(book, "doc_id").where("lang <> book").select("doc_id", "block_id", "lang").distinct()
+    keys = inside.join(book, "doc_id").where("lang <> book").select("doc_id", "block_id").distinct()
     # a title named inside a sentence is no passage: the few blocks found are decoded again without their book's titles
-    keys = foreign.select("doc_id", "block_id").distinct().join(titles_of(blocks, book_meta), "doc_id", "left")
     shared = blocks.sparkSession.sparkContext.broadcast(model)
-    again = blocks.select("doc_id", "block_id", "text").join(_small(keys), ["doc_id", "block_id"])
-    still = again.select("doc_id", "block_id", F.explode(_untitled_udf(shared)("text", "titles")).alias("lang"))
-    foreign = still.join(book, "doc_id").where("lang <> book").select("doc_id", "block_id", "lang").distinct()
+    again = blocks.select("doc_id", "block_id", "text").join(small(written(keys.join(titles_of(blocks, book_meta), "doc_id", "left"))), ["doc_id", "block_id"])
+    still = again.select("doc_id", "block_id", _untitled_udf(shared)("text", "titles").alias("langs")).join(book, "doc_id")
+    foreign = still.where(F.exists("langs", lambda x: x != F.col("book"))).select("doc_id", "block_id", F.explode("langs").alias("lang")).distinct()
     return wrong.unionByName(t).unionByName(foreign)
 
 
@@ -437,10 +448,5 @@ def _untitled_udf(shared):
     return F.pandas_udf(run, T.ArrayType(T.StringType()))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast behind a check of the number of rows (about 60 bytes each); beyond it the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _name(i: str) -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in LANGS]), F.col(i) + 1)

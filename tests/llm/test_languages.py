@@ -74,6 +74,30 @@ def test_cases(spark):
     assert len(got) == len(set(got))
 
 
+def test_recall_by_class(spark):
+    """Planted in every language: labels, titles, passages; a block with a passage names every language it holds."""
+    langs = list(TEXTS)
+    rows, books, want = [], [], set()
+    for i, k in enumerate(langs):
+        other = langs[(i + 1) % len(langs)]
+        third = langs[(i + 4) % len(langs)]
+        rows += [(i, TEXTS[k])] * 5
+        books.append((i, G.SEEDS[other].split(". ")[0].split("。")[0].split("，")[0], None if i % 2 else langs[i - 1]))
+        for j in range(100, 400, 100):
+            rows += [(i + j, TEXTS[k])] * 5
+            books.append((i + j, None, k))
+        want |= {(i, "", k), (i, "title", other)}
+        at = len(rows)
+        rows += [(i, TEXTS[k] + "\n" + TEXTS[other]), (i, TEXTS[third]), (i, TEXTS[other] + " " + TEXTS[third] + " " + TEXTS[k])]
+        want |= {(i, f"b{at}", k), (i, f"b{at}", other), (i, f"b{at + 1}", third)} | {(i, f"b{at + 2}", x) for x in (k, other, third)}
+    got = {tuple(r) for r in G.cases(*_tables(spark, rows, books)).collect()}
+    assert got == want
+
+
+def test_broken_lines_are_one_sentence(model):
+    assert G.score_blocks(model, ["Das alte Haus steht am\nFluss, und die Kin-\n  der gehen zur Schu¬\nle."])[1] == [["de"]]
+
+
 def test_empty(spark):
     b, m = _tables(spark, [], [])
     assert G.cases(b, m).count() == 0
