@@ -2,26 +2,28 @@
 
 Lines are brought to a form without case, spacing, width, punctuation,
 ornaments, numbers, dates and the book's title; words too rare in the source to
-belong to its repeated lines (persons) become a gap. Lines that stand in too few
-books drop out by exact distributed counts. What is left of each book is a
-sequence of line ids; the suffixes of all sequences of a source are sorted
-(bucketed by their first id, identical suffixes once with their number of
-books), common prefixes of neighbours give the repeated blocks of one or more
-lines, and lines of blocks that span enough books are removed.
+belong to its repeated lines (persons) become a gap. Lines that cannot stand in
+enough books, whatever their gap, drop out by an upper bound. What is left of
+each book is a sequence of line ids in reading order, across its blocks; the
+suffixes of all sequences of a source form a suffix array (range-partitioned,
+identical suffixes once), common prefixes of neighbours give the repeated blocks
+of one or more lines, and the lines of blocks that span enough books, and no
+others, are removed.
 """
 
 from __future__ import annotations
 
 import re
-from uuid import uuid4
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import small, written
 from ..tables import latest, source_key
 from .confusables import consistent_form
 
@@ -29,10 +31,12 @@ from .confusables import consistent_form
 MIN_BOOKS, MIN_SHARE = 4, 0.2
 #: Kinds whose lines are no cases.
 SKIP_KINDS = ("heading", "code", "table")
-#: Passing line keys are broadcast up to this number of rows (16 bytes each); beyond, they are joined by shuffle.
-BROADCAST_KEYS = 500_000
-#: Books (source, two titles; about 200 bytes each) are broadcast up to this number; beyond, blocks meet them by shuffle.
-BROADCAST_BOOKS = 150_000
+#: Lines of a repeated block at most; longer blocks are found as overlapping ones of that length, so no line is lost.
+LONGEST = 64
+#: Blocks of a book that one task puts in order; it also sees the first LONGEST of the next ones.
+CHUNK = 1024
+#: Letters of a run of Han, and of one with kana, that is too long for a name.
+NAME_HAN, NAME_KANA = 9, 20
 TITLE = "§"
 GAP = "*"
 
@@ -59,7 +63,31 @@ def normal_line(line: str, titles: list[str]) -> str:
     return norm if _LETTER.search(norm) else ""
 
 
-_LINES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("norm", T.StringType())]))
+_LINES = T.ArrayType(T.StructType([
+    T.StructField("line_no", T.IntegerType()), T.StructField("norm", T.StringType()), T.StructField("scale", T.IntegerType()),
+    T.StructField("ends", T.ArrayType(T.IntegerType())),
+]))
+
+
+def view_ends(norm: str) -> tuple[int, list[int]]:
+    """(scale, numbers of words): the first words with 2**scale letters or more and with half as many, then the last ones.
+
+    Lines that differ in one run of words, of any number, which holds at most half of the letters of each, share
+    one of these beginnings or ends: the rest has as many letters in all of them, half of those on one side, and
+    their lengths differ by a factor of two at most, so that they have a scale in common.
+    """
+    w = norm.split(" ")
+    letters = [len(x) for x in w]
+    scale = max(0, (sum(letters) // 2).bit_length() - 1)
+    out = []
+    for side in (letters, letters[::-1]):
+        for k in (scale, scale - 1):
+            n, i = 0, 0
+            while i < len(side) and n < (1 << k if k > 0 else 1):
+                n += side[i]
+                i += 1
+            out.append(i)
+    return scale, out
 
 
 @F.pandas_udf(_LINES)
@@ -84,7 +112,8 @@ def _lines(texts: pd.Series, titles: pd.Series) -> pd.Series:
         for i, line in enumerate(text.split("\n")):
             norm = normal_line(line, forms)
             if norm:
-                got.append({"line_no": i + 1, "norm": norm})
+                scale, ends = view_ends(norm)
+                got.append({"line_no": i + 1, "norm": norm, "scale": scale, "ends": ends})
         out.append(got)
     return pd.Series(out)
 
@@ -106,80 +135,68 @@ def books(doc_meta: DataFrame, book_meta: DataFrame | None, blocks: DataFrame) -
     return d.join(size, "source").join(t, "doc_id", "left")
 
 
-def _keys(norm: str) -> list:
-    """Views of a line of which lines with one varying part, of any number of words, share at least one.
-
-    What is fixed has two words at one end, or one at each, or is a single end word; such a word holds half of
-    the letters in every line that can pass (see recurring). The others of the last two views are null.
-    """
-    w = F.split(F.col(norm), " ")
+def _views() -> Column:
+    """The views of a line (see view_ends) by source, as hashes."""
+    w = F.split(F.col("norm"), " ")
     n = F.size(w)
-    first, last = F.element_at(w, 1), F.element_at(w, -1)
-    half = F.length(F.replace(norm, F.lit(" ")))
-    return [
-        F.xxhash64("source", F.lit(1), F.slice(w, 1, 2)),
-        F.xxhash64("source", F.lit(2), F.slice(w, F.greatest(n - 1, F.lit(1)), F.lit(2))),
-        F.xxhash64("source", F.lit(3), first, last),
-        F.when(F.length(first) * 2 >= half, F.xxhash64("source", F.lit(4), first)),
-        F.when((F.length(last) * 2 >= half) & (n > 1), F.xxhash64("source", F.lit(5), last)),
-    ]
+    e = [F.element_at("ends", i + 1) for i in range(4)]
+    scales = [F.col("scale"), F.greatest(F.col("scale") - 1, F.lit(0))] * 2
+    parts = [F.slice(w, F.lit(1), e[0]), F.slice(w, F.lit(1), e[1]), F.slice(w, n - e[2] + 1, e[2]), F.slice(w, n - e[3] + 1, e[3])]
+    return F.array_distinct(F.array(*[F.xxhash64("source", F.lit(i // 2), k, x) for i, (k, x) in enumerate(zip(scales, parts, strict=True))]))
 
 
 def normal_lines(blocks: DataFrame, of: DataFrame) -> DataFrame:
-    """(doc_id, block_id, line_no, source, n_books, norm, k) of all lines with a letter; a written table in the shared folder."""
-    spark = blocks.sparkSession
-    b = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*SKIP_KINDS) & F.col("text").isNotNull()).select("doc_id", "block_id", "text")
-    rows = b.join(_small(of, BROADCAST_BOOKS), "doc_id").select("doc_id", "block_id", "source", "n_books", F.explode(_lines("text", "titles")).alias("l"))
-    rows = rows.select("doc_id", "block_id", "source", "n_books", "l.line_no", "l.norm").withColumn("k", F.array_compact(F.array(*_keys("norm"))))
-    where = f"{shared_dir(spark)}/lines-{uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(where)
-    return spark.read.parquet(where)
+    """(doc_id, ord, block_id, i, m, line_no, source, n_books, norm, scale, ends) of all lines with a letter, i of m in its block; a written table."""
+    b = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*SKIP_KINDS) & F.col("text").isNotNull()).select("doc_id", F.col("ord").cast("long") if "ord" in blocks.columns else F.lit(None).cast("long").alias("ord"), "block_id", "text")
+    rows = b.join(small(of), "doc_id").select("doc_id", "ord", "block_id", "source", "n_books", _lines("text", "titles").alias("l"))
+    rows = rows.select("doc_id", "ord", "block_id", "source", "n_books", F.size("l").alias("m"), F.posexplode("l").alias("i", "l")).select("doc_id", "ord", "block_id", "i", "m", "source", "n_books", "l.*")
+    return written(rows)
 
 
 def _enough(n: str) -> Column:
     return F.greatest(F.lit(MIN_BOOKS), F.ceil(F.col(n) * MIN_SHARE - F.lit(1e-9)))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder, so that what is used twice is computed once and outlives executors."""
-    where = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
+def _may_be_name(w: Column) -> Column:
+    """Runs of Han are clauses, not names, from NAME_HAN letters on; with kana from NAME_KANA letters on."""
+    most = F.when(w.rlike("[぀-ヿ]"), NAME_KANA).when(w.rlike("[㐀-䶿一-鿿]"), NAME_HAN)
+    return most.isNull() | (F.length(w) < most)
 
 
-def _small(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """Broadcast behind a check of the number of rows."""
-    return F.broadcast(df) if df.count() <= most else df
+_LINE = ("doc_id", "ord", "block_id", "i", "m", "line_no", "source", "n_books")
 
 
-def recurring(lines: DataFrame) -> DataFrame:
-    """(doc_id, block_id, line_no, source, n_books, key, form) of lines whose form stands in enough books.
+def candidates(lines: DataFrame) -> DataFrame:
+    """(doc_id, ord, block_id, i, m, line_no, source, n_books, key, form) of lines that may stand in enough books; a written table.
 
-    1. views of a line counted over all lines (map-side partial counts) bound the number of books from above;
+    1. views of a line counted over all lines (map-side partial counts) bound its number of books from above, then
+       their books are counted for those that are left;
     2. words of the remaining lines are counted by book in their source; rare ones become gaps;
-    3. forms are counted by book; a form with a gap also passes where filling the gap gives a passing form.
+    3. a form without a gap that alone stands in enough books has the key of the form with a gap in place of some
+       of its words, if that occurs: they differ in a person named.
     """
-    seen = lines.select("n_books", F.explode("k").alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
-    views = _small(_kept(seen.where(F.col("n") >= _enough("n_books")).select("v"), "views"))
-    some = _kept(lines.withColumn("v", F.explode("k")).join(views, "v", "left_semi").drop("v", "k").distinct(), "some")
+    seen = lines.select("n_books", F.explode(_views()).alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    often = small(written(seen.where(F.col("n") >= _enough("n_books")).select("v")))
+    pairs = written(lines.select(*_LINE, "norm", F.explode(_views()).alias("v")).join(often, "v", "left_semi"))
+    views = pairs.select("v", "doc_id", "n_books").distinct().groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    views = small(written(views.where(F.col("n") >= _enough("n_books")).select("v")))
+    some = written(pairs.join(views, "v", "left_semi").drop("v").distinct())
     words = some.select("*", F.posexplode(F.split("norm", " ")).alias("at", "w"))
     common = words.select("source", "n_books", "w", "doc_id").distinct().groupBy("source", "w").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
     common = common.where((F.col("n") >= _enough("n_books")) | F.col("w").isin("0", TITLE)).select("source", "w", F.lit(1).alias("keep"))
-    w = words.join(common, ["source", "w"], "left").select("doc_id", "block_id", "line_no", "source", "n_books", F.length(F.replace("norm", F.lit(" "))).alias("letters"), F.struct("at", F.when(F.col("keep") == 1, F.col("w")).otherwise(GAP).alias("w")).alias("x"))
-    form = w.groupBy("doc_id", "block_id", "line_no", "source", "n_books").agg(F.max("letters").alias("letters"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]), " ").alias("form"))
+    w = words.join(small(written(common)), ["source", "w"], "left").select(*_LINE, F.length(F.replace("norm", F.lit(" "))).alias("letters"), F.struct("at", F.when((F.col("keep") == 1) | ~_may_be_name(F.col("w")), F.col("w")).otherwise(GAP).alias("w")).alias("x"))
+    form = w.groupBy(*_LINE).agg(F.max("letters").alias("letters"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]), " ").alias("form"))
     form = form.withColumn("form", F.regexp_replace("form", r"(^| )\*(?: \*)+(?= |$)", "$1*")).where(F.regexp_replace("form", r"[\d\s*§]", "") != "")
     # a gap stands for a person, not for most of the line
     fixed = F.length(F.regexp_replace("form", r"[\s*]", ""))
-    form = form.where(~F.col("form").contains(GAP) | (fixed * 2 >= F.col("letters"))).drop("letters")
-    form = _kept(form.withColumn("key", F.xxhash64("source", "form")), "forms")
-    count = form.select("source", "n_books", "form", "key", "doc_id").distinct().groupBy("source", "form", "key").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
-    count = _kept(count, "counts")
-    passing = count.where(F.col("n") >= _enough("n_books"))
-    # a passing form with one run of words taken out is the same line as a form with a gap there
-    gapped = passing.select("source", F.explode(_with_gap("form")).alias("form")).distinct()
-    near = count.where((F.col("n") < _enough("n_books")) & F.col("form").contains(GAP)).join(gapped, ["source", "form"], "left_semi").select("key")
-    keys = _kept(passing.select("key").union(near).distinct(), "keys")
-    return _kept(form.join(_small(keys), "key", "left_semi"), "recurring")
+    form = written(form.where(~F.col("form").contains(GAP) | (fixed * 2 >= F.col("letters"))).drop("letters"))
+    count = form.select("source", "n_books", "form", "doc_id").distinct().groupBy("source", "form").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    count = written(count)
+    filled = count.where((F.col("n") >= _enough("n_books")) & ~F.col("form").contains(GAP)).select("source", "form", F.explode(_with_gap("form")).alias("gapped"))
+    gaps = count.where(F.col("form").contains(GAP)).select("source", F.col("form").alias("gapped"))
+    same = filled.join(gaps, ["source", "gapped"], "left_semi").groupBy("source", "form").agg(F.min("gapped").alias("gapped"))
+    got = form.join(small(written(same)), ["source", "form"], "left")
+    return written(got.select(*_LINE, F.xxhash64("source", F.coalesce("gapped", "form")).alias("key"), F.coalesce("gapped", "form").alias("form")))
 
 
 _FORMS = T.ArrayType(T.StringType())
@@ -189,96 +206,127 @@ _FORMS = T.ArrayType(T.StringType())
 def _with_gap(forms: pd.Series) -> pd.Series:
     def cut(f: str) -> list[str]:
         w = f.split(" ")
-        got = {" ".join([*w[:i], GAP, *w[i + k :]]) for k in (1, 2, 3) for i in range(len(w) - k + 1) if len(w) - k >= 2}
-        return sorted(got)
+        most = len(f.replace(" ", "")) // 2
+        name = [len(x) < (NAME_KANA if re.search("[぀-ヿ]", x) else NAME_HAN if _CJK.search(x) else 99) for x in w]
+        return sorted({" ".join([*w[:i], GAP, *w[j:]]) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w) and all(name[i:j]) and sum(map(len, w[i:j])) <= most})
 
     return pd.Series([cut(f) for f in forms])
 
 
-_BLOCK = T.StructType([T.StructField("source", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n_docs", T.LongType())])
+_INTERVAL = T.StructType([T.StructField("source", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
 
 
-def suffix_blocks(sequences: DataFrame, longest: int = 64) -> DataFrame:
-    """(source, keys, n_docs): repeated blocks of lines, maximal to the right at their number of books.
+def intervals(array: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], int]:
+    """Common-prefix intervals of one piece of a suffix array of (suffix, books): prefix -> books added up.
 
-    sequences: (source, n_books, doc_id, run array<bigint>), a book's runs of recurring lines. Suffixes are
-    bucketed by (source, first key) and identical ones aggregated to their number of books before any sort, so
-    a source with very many books gives each task only its distinct suffixes. Blocks longer than ``longest``
-    lines are reported as overlapping blocks of that length; no line is lost by it.
+    array is sorted. An interval that touches an end of the piece may go on in the next one, so the first and the
+    last suffix give an interval for each of their prefixes.
     """
-    suffix = sequences.select("source", "n_books", "doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda i: F.slice(F.col("run"), i, F.lit(longest)))).alias("s"))
-    # books per distinct prefix of a suffix are what the common-prefix intervals hold: count them once per book
-    grouped = suffix.distinct().groupBy("source", "s").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"), F.first(F.element_at("s", 1)).alias("head"))
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        sa = sorted((tuple(int(x) for x in s), int(n)) for s, n in zip(pdf["s"], pdf["n"], strict=True))
-        need = max(MIN_BOOKS, int(np.ceil(pdf["n_books"].iloc[0] * MIN_SHARE - 1e-9)))
-        lcp = [0] * len(sa)
-        for i in range(1, len(sa)):
-            a, b = sa[i - 1][0], sa[i][0]
-            k = 0
-            while k < len(a) and k < len(b) and a[k] == b[k]:
-                k += 1
-            lcp[i] = k
-        out: dict[tuple, int] = {}
-        # intervals of the common-prefix array by a stack of (length, books)
-        stack: list[list[int]] = []
-
-        def close(upto: int, at: int) -> None:
-            carried = 0
-            while stack and stack[-1][0] > upto:
-                length, books = stack.pop()
-                books += carried
-                carried = books
-                if books >= need and length:
-                    out[sa[at][0][:length]] = books
-            if carried:
-                if stack and stack[-1][0] == upto:
-                    stack[-1][1] += carried
-                elif upto:
-                    stack.append([upto, carried])
-
-        for i, (s, n) in enumerate(sa):
-            if i:
-                close(lcp[i], i - 1)
-            if stack and stack[-1][0] == len(s):
-                stack[-1][1] += n
+    out: dict[tuple[int, ...], int] = {}
+    stack: list[list[int]] = []
+
+    def close(upto: int, s: tuple[int, ...]) -> None:
+        carried = 0
+        while stack and stack[-1][0] > upto:
+            length, books = stack.pop()
+            carried += books
+            out[s[:length]] = carried
+        if carried and upto:
+            if stack and stack[-1][0] == upto:
+                stack[-1][1] += carried
             else:
-                stack.append([len(s), n])
-        if sa:
-            close(0, len(sa) - 1)
-        keys = pd.Series([np.array(k, dtype=np.int64) for k in out], dtype=object)
-        return pd.DataFrame({"source": pd.Series([pdf["source"].iloc[0]] * len(out), dtype=object), "keys": keys, "n_docs": pd.Series(list(out.values()), dtype="int64")})
-
-    found = grouped.groupBy("source", "head").applyInPandas(find, _BLOCK)
-    # a book that holds a block twice with different lines after it counted twice above: recount the few blocks exactly
-    prefix = suffix.select("source", "n_books", "doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.slice("s", F.lit(1), i))).alias("keys"))
-    exact = prefix.distinct().groupBy("source", "keys").agg(F.count("*").alias("n_docs"), F.max("n_books").alias("n_books"))
-    exact = exact.where(F.col("n_docs") >= _enough("n_books")).drop("n_books")
-    return exact.join(found.select("source", "keys"), ["source", "keys"], "left_semi")
-
-
-def sequences(rec: DataFrame) -> DataFrame:
-    """Runs of recurring lines that follow each other within a block."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("doc_id", "block_id").orderBy("line_no")
-    r = rec.select("source", "n_books", "doc_id", "block_id", "line_no", "key").distinct().withColumn("g", F.col("line_no") - F.row_number().over(w))
-    return r.groupBy("source", "n_books", "doc_id", "block_id", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "key"))), lambda x: x["key"]).alias("run")).select("source", "n_books", "doc_id", "run")
+                stack.append([upto, carried])
+
+    common = [_common(a[0], b[0]) for a, b in zip(array, array[1:], strict=False)]
+    for i, (s, n) in enumerate(array):
+        if i:
+            close(common[i - 1], array[i - 1][0])
+        if stack and stack[-1][0] == len(s):
+            stack[-1][1] += n
+        else:
+            stack.append([len(s), n])
+    if array:
+        close(0, array[-1][0])
+        for rows, gaps in ((array, common), (array[::-1], common[::-1])):
+            edge = rows[0][0]
+            held = [0] * (len(edge) + 1)
+            k = len(edge)
+            for i, (_, n) in enumerate(rows):
+                k = min(k, gaps[i - 1]) if i else k
+                if not k:
+                    break
+                held[k] += n
+            total = 0
+            for k in range(len(edge), 0, -1):
+                total += held[k]
+                out[edge[:k]] = total
+    return out
+
+
+def _common(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+def _piece(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Intervals of the sorted rows of one partition, batch by batch: a batch is a piece of the array like a partition."""
+    for pdf in batches:
+        for source, part in pdf.groupby("source", sort=False):
+            got = intervals([(tuple(int(x) for x in s), int(n)) for s, n in zip(part["s"], part["n"], strict=True)])
+            yield pd.DataFrame({"source": pd.Series([source] * len(got), dtype=object), "keys": pd.Series([np.array(k, dtype=np.int64) for k in got], dtype=object), "n": pd.Series(list(got.values()), dtype="int64")})
+
+
+def suffix_blocks(suffixes: DataFrame) -> DataFrame:
+    """(source, keys, n_docs): blocks of lines repeated in enough books; a written table.
+
+    suffixes: (source, n_books, doc_id, s array<bigint>). Identical suffixes of a source are one row with their
+    number of books; the rows are sorted by range (a source or a first line that very many books share is split
+    among tasks like any other), each piece gives its common-prefix intervals with their books, and intervals of
+    one prefix are added up. A book with a block twice counts twice in that sum, so the books of the blocks left,
+    few, are counted exactly in the end.
+    """
+    suffixes = suffixes.distinct()
+    array = suffixes.groupBy("source", "s").agg(F.count("*").alias("n")).repartitionByRange("source", "s").sortWithinPartitions("source", "s")
+    least = suffixes.groupBy("source").agg(F.max("n_books").alias("n_books"))
+    found = array.mapInPandas(_piece, _INTERVAL).groupBy("source", "keys").agg(F.sum("n").alias("n")).join(least, "source")
+    found = small(written(found.where(F.col("n") >= _enough("n_books")).select("source", "keys")))
+    prefix = suffixes.select("source", "n_books", "doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.slice("s", F.lit(1), i))).alias("keys"))
+    exact = prefix.join(found, ["source", "keys"], "left_semi").distinct().groupBy("source", "keys").agg(F.count("*").alias("n_docs"), F.max("n_books").alias("n_books"))
+    exact = written(exact.where(F.col("n_docs") >= _enough("n_books")).drop("n_books"))
+    # a block that always goes on alike is given by its longer form; an edge of a piece gave both
+    longer = exact.where(F.size("keys") > 1).select("source", F.slice("keys", F.lit(1), F.size("keys") - 1).alias("keys"), "n_docs")
+    return written(exact.join(longer, ["source", "keys", "n_docs"], "left_anti").select("source", "keys", "n_docs"))
+
+
+def suffixes(rec: DataFrame) -> DataFrame:
+    """(source, n_books, doc_id, s): from each candidate line on, the keys of the candidate lines that follow each other, LONGEST at most.
+
+    Lines follow each other within a block, and from a block's last line to the first one of the next block. A
+    book's blocks are put in order by chunks, so a very long book is many tasks.
+    """
+    at = F.floor(F.coalesce(F.col("ord"), F.lit(0)) / CHUNK)
+    r = rec.select("source", "n_books", "doc_id", "ord", "block_id", "i", "m", "key").distinct()
+    r = r.withColumn("own", at).withColumn("chunk", F.explode(F.when((F.col("ord") % CHUNK < LONGEST) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))))
+    w = W.partitionBy("doc_id", "chunk").orderBy("ord", "block_id", "i")
+    p = lambda c: F.lag(c).over(w)
+    follows = (p("block_id") == F.col("block_id")) & (p("i") == F.col("i") - 1) | (p("ord") == F.col("ord") - 1) & (p("i") == p("m") - 1) & (F.col("i") == 0)
+    r = r.withColumn("run", F.coalesce(follows, F.lit(False))).withColumn("run", F.sum((~F.col("run")).cast("long")).over(w))
+    ahead = F.collect_list(F.struct("run", "key")).over(w.rowsBetween(0, LONGEST - 1))
+    return r.withColumn("s", ahead).where(F.col("own") == F.col("chunk")).select("source", "n_books", "doc_id", F.transform(F.filter("s", lambda x: x["run"] == F.col("run")), lambda x: x["key"]).alias("s"))
 
 
 def repeated(blocks: DataFrame, doc_meta: DataFrame, book_meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines to remove: doc_id, block_id, line_no, key, form; repeated blocks: source, keys, n_docs).
+    """(lines to remove: doc_id, block_id, line_no, source, key, form; repeated blocks: source, keys, n_docs).
 
     Books without a source are left out; null texts have no lines; a block delivered twice gives its lines once.
+    A line is removed if a repeated block of the suffix array holds it.
     """
-    lines = normal_lines(blocks, _kept(books(doc_meta, book_meta, blocks), "books"))
-    rec = recurring(lines)
-    found = _kept(suffix_blocks(_kept(sequences(rec), "sequences")), "blocks")
-    hit = found.select("source", F.explode("keys").alias("key")).distinct()
-    # forms that pass through another form's count stand in fewer books by themselves
-    near = rec.groupBy("source", "key").agg(F.first("form").alias("form")).where(F.col("form").contains(GAP)).select("source", "key")
-    hit = _small(hit.union(near).distinct())
+    lines = normal_lines(blocks, written(books(doc_meta, book_meta, blocks)))
+    rec = candidates(lines)
+    found = suffix_blocks(written(suffixes(rec)))
+    hit = small(written(found.select("source", F.explode("keys").alias("key")).distinct()))
     return rec.join(hit, ["source", "key"], "left_semi").select("doc_id", "block_id", "line_no", "source", "key", "form").distinct(), found
 
 

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import datetime
 from itertools import product
 
@@ -51,22 +52,64 @@ def test_removed(found, spark):
     assert got[(4, "b0")] == ("", 2) and got[(4, "b1")][1] == 0 and got[(4, "b2")] == (None, 0) and len(got) == 33
 
 
-def test_suffix_blocks_equal_brute_force(spark):
-    runs = {d: [(1, 2, 3), (2, 3)] if d < 6 else [(2, 3, 1), (4, 2, 3)] for d in range(12)}
-    rows = [("s", 12, d, list(r)) for d, rs in runs.items() for r in rs]
-    df = spark.createDataFrame(rows, "source string, n_books long, doc_id long, run array<bigint>")
-    got = {tuple(r["keys"]): r["n_docs"] for r in B.suffix_blocks(df).collect()}
+RUNS = {d: [(1, 2, 3), (2, 3)] if d < 6 else [(2, 3, 1), (4, 2, 3)] for d in range(12)}
+
+
+def _prefixes():
     subs = {}
-    for d, rs in runs.items():
+    for d, rs in RUNS.items():
         for r in rs:
             for i, j in product(range(len(r)), range(len(r))):
                 if i <= j:
                     subs.setdefault(r[i : j + 1], set()).add(d)
-    want = {k: len(v) for k, v in subs.items() if len(v) >= 4}
-    assert set(got.items()) <= set(want.items())
-    assert {x for k in got for x in k} == {x for k in want for x in k}
-    # every repeated block is the beginning of a reported one with as many books, or reported itself
-    assert all(k in got or any(g[: len(k)] == k and got[g] <= n for g in got) for k, n in want.items())
+    return subs
+
+
+def test_suffix_blocks_equal_brute_force(spark):
+    rows = [("s", 12, d, list(r[i:])) for d, rs in RUNS.items() for r in rs for i in range(len(r))]
+    df = spark.createDataFrame(rows, "source string, n_books long, doc_id long, s array<bigint>")
+    got = {tuple(r["keys"]): r["n_docs"] for r in B.suffix_blocks(df.repartition(3)).collect()}
+    want = {k: len(v) for k, v in _prefixes().items() if len(v) >= 4}
+    # blocks that always go on alike are given by the longer one
+    assert got == {k: n for k, n in want.items() if not any(g[:-1] == k and want[g] == n for g in want)}
+
+
+def test_intervals_of_pieces_add_up():
+    """However the array is cut, the sums are those of counting every prefix."""
+    array = sorted(Counter(r[i:] for rs in RUNS.values() for r in rs for i in range(len(r))).items())
+    want = Counter()
+    for s, n in array:
+        for k in range(1, len(s) + 1):
+            want[s[:k]] += n
+    for cuts in ((), (1,), (2, 3), tuple(range(1, len(array)))):
+        got = Counter()
+        for a, b in zip((0, *cuts), (*cuts, len(array)), strict=True):
+            got.update(B.intervals(array[a:b]))
+        assert got and all(want[k] == n for k, n in got.items())
+        # what is not given has a longer form with as many
+        assert all(k in got or any(g[: len(k)] == k and got[g] == n for g in got) for k, n in want.items())
+    assert B.intervals([]) == {}
+
+
+def test_views_share_what_surrounds_a_name():
+    for name in ("Kern", "Anna Kern", "Anna Maria von der Kern"):
+        a, b = B.words(f"Edited with very great care by {name} for the site"), B.words("Edited with very great care by Li for the site")
+        views = []
+        for t in (a, b):
+            scale, e = B.view_ends(t)
+            w = t.split()
+            views.append({(s, k, tuple(w[:n] if s == 0 else w[-n:])) for s in (0, 1) for k, n in zip((scale, max(0, scale - 1)), e[2 * s : 2 * s + 2], strict=True)})
+        assert views[0] & views[1]
+
+
+def test_blocks_across_rows_and_no_other_rows(spark):
+    """A block of two lines in two table rows is one; without the suffix array nothing would be removed."""
+    blocks = [(d, f"b{o}", o, "text", t, DAY) for d in range(8) for o, t in enumerate(["own " + chr(97 + d) * 5, "Shared first line", "Shared second line"])]
+    b = spark.createDataFrame(blocks, "doc_id long, block_id string, ord int, kind string, text string, ingested_at timestamp")
+    m = spark.createDataFrame([(d, "s", DAY) for d in range(8)], "doc_id long, source string, ingested_at timestamp")
+    lines, found = B.repeated(b, m)
+    assert sorted(len(r["keys"]) for r in found.collect()) == [1, 2]
+    assert {tuple(r[:2]) for r in lines.collect()} == {(d, x) for d in range(8) for x in ("b1", "b2")}
 
 
 def test_small_sources_and_nulls(spark):
