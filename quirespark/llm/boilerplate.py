@@ -63,31 +63,8 @@ def normal_line(line: str, titles: list[str]) -> str:
     return norm if _LETTER.search(norm) else ""
 
 
-_LINES = T.ArrayType(T.StructType([
-    T.StructField("line_no", T.IntegerType()), T.StructField("norm", T.StringType()), T.StructField("scale", T.IntegerType()),
-    T.StructField("ends", T.ArrayType(T.IntegerType())),
-]))
-
-
-def view_ends(norm: str) -> tuple[int, list[int]]:
-    """(scale, numbers of words): the first words with 2**scale letters or more and with half as many, then the last ones.
-
-    Lines that differ in one run of words, of any number, which holds at most half of the letters of each, share
-    one of these beginnings or ends: the rest has as many letters in all of them, half of those on one side, and
-    their lengths differ by a factor of two at most, so that they have a scale in common.
-    """
-    w = norm.split(" ")
-    letters = [len(x) for x in w]
-    scale = max(0, (sum(letters) // 2).bit_length() - 1)
-    out = []
-    for side in (letters, letters[::-1]):
-        for k in (scale, scale - 1):
-            n, i = 0, 0
-            while i < len(side) and n < (1 << k if k > 0 else 1):
-                n += side[i]
-                i += 1
-            out.append(i)
-    return scale, out
+#: Lines of a text, each as its number, a space and its words.
+_LINES = T.ArrayType(T.StringType())
 
 
 @F.pandas_udf(_LINES)
@@ -112,10 +89,9 @@ def _lines(texts: pd.Series, titles: pd.Series) -> pd.Series:
         for i, line in enumerate(text.split("\n")):
             norm = normal_line(line, forms)
             if norm:
-                scale, ends = view_ends(norm)
-                got.append({"line_no": i + 1, "norm": norm, "scale": scale, "ends": ends})
+                got.append(f"{i + 1} {norm}")
         out.append(got)
-    return pd.Series(out)
+    return pd.Series(out, dtype=object)
 
 
 def titles_of(blocks: DataFrame, book_meta: DataFrame | None) -> DataFrame:
@@ -135,21 +111,24 @@ def books(doc_meta: DataFrame, book_meta: DataFrame | None, blocks: DataFrame) -
     return d.join(size, "source").join(t, "doc_id", "left")
 
 
-def _views() -> Column:
-    """The views of a line (see view_ends) by source, as hashes."""
-    w = F.split(F.col("norm"), " ")
-    n = F.size(w)
-    e = [F.element_at("ends", i + 1) for i in range(4)]
-    scales = [F.col("scale"), F.greatest(F.col("scale") - 1, F.lit(0))] * 2
-    parts = [F.slice(w, F.lit(1), e[0]), F.slice(w, F.lit(1), e[1]), F.slice(w, n - e[2] + 1, e[2]), F.slice(w, n - e[3] + 1, e[3])]
-    return F.array_distinct(F.array(*[F.xxhash64("source", F.lit(i // 2), k, x) for i, (k, x) in enumerate(zip(scales, parts, strict=True))]))
+def views() -> Column:
+    """Beginnings and ends of a line by source, as hashes: whole words with 2**k characters or more, for two values of k.
+
+    Lines that differ in one run of words, of any number, which takes at most half of each, share one of them: what
+    surrounds the run is the same in all, half of it or more stands on one side, and the lines' lengths differ by a
+    factor of two at most, so that they have a k in common.
+    """
+    k = "greatest(cast(floor(log2(length(norm) / 2)) as int) - {d}, 0)"
+    part = "case when locate(' ', {line}, shiftleft(1, {k}) + 1) > 0 then left({line}, locate(' ', {line}, shiftleft(1, {k}) + 1) - 1) else {line} end"
+    one = [f"xxhash64(source, {side}, {(at := k.format(d=d))}, {part.format(line=line, k=at)})" for side, line in enumerate(("norm", "reverse(norm)")) for d in (0, 1)]
+    return F.expr(f"array_distinct(array({', '.join(one)}))")
 
 
 def normal_lines(blocks: DataFrame, of: DataFrame) -> DataFrame:
-    """(doc_id, ord, block_id, i, m, line_no, source, n_books, norm, scale, ends) of all lines with a letter, i of m in its block; a written table."""
+    """(doc_id, ord, block_id, i, m, source, n_books, line_no, norm) of all lines with a letter, i of m in its block; a written table."""
     b = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*SKIP_KINDS) & F.col("text").isNotNull()).select("doc_id", F.col("ord").cast("long") if "ord" in blocks.columns else F.lit(None).cast("long").alias("ord"), "block_id", "text")
     rows = b.join(small(of), "doc_id").select("doc_id", "ord", "block_id", "source", "n_books", _lines("text", "titles").alias("l"))
-    rows = rows.select("doc_id", "ord", "block_id", "source", "n_books", F.size("l").alias("m"), F.posexplode("l").alias("i", "l")).select("doc_id", "ord", "block_id", "i", "m", "source", "n_books", "l.*")
+    rows = rows.select("doc_id", "ord", "block_id", "source", "n_books", F.size("l").alias("m"), F.posexplode("l").alias("i", "l")).select("doc_id", "ord", "block_id", "i", "m", "source", "n_books", F.substring_index("l", " ", 1).cast("int").alias("line_no"), F.expr("substr(l, instr(l, ' ') + 1)").alias("norm"))
     return written(rows)
 
 
@@ -175,21 +154,21 @@ def candidates(lines: DataFrame) -> DataFrame:
     3. a form without a gap that alone stands in enough books has the key of the form with a gap in place of some
        of its words, if that occurs: they differ in a person named.
     """
-    seen = lines.select("n_books", F.explode(_views()).alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    seen = lines.select("n_books", F.explode(views()).alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
     often = small(written(seen.where(F.col("n") >= _enough("n_books")).select("v")))
-    pairs = written(lines.select(*_LINE, "norm", F.explode(_views()).alias("v")).join(often, "v", "left_semi"))
-    views = pairs.select("v", "doc_id", "n_books").distinct().groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
-    views = small(written(views.where(F.col("n") >= _enough("n_books")).select("v")))
-    some = written(pairs.join(views, "v", "left_semi").drop("v").distinct())
+    pairs = written(lines.select(*_LINE, "norm", F.explode(views()).alias("v")).join(often, "v", "left_semi"))
+    held = pairs.select("v", "doc_id", "n_books").distinct().groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    held = small(written(held.where(F.col("n") >= _enough("n_books")).select("v")))
+    some = written(pairs.join(held, "v", "left_semi").drop("v").distinct())
     words = some.select("*", F.posexplode(F.split("norm", " ")).alias("at", "w"))
     common = words.select("source", "n_books", "w", "doc_id").distinct().groupBy("source", "w").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
     common = common.where((F.col("n") >= _enough("n_books")) | F.col("w").isin("0", TITLE)).select("source", "w", F.lit(1).alias("keep"))
-    w = words.join(small(written(common)), ["source", "w"], "left").select(*_LINE, F.length(F.replace("norm", F.lit(" "))).alias("letters"), F.struct("at", F.when((F.col("keep") == 1) | ~_may_be_name(F.col("w")), F.col("w")).otherwise(GAP).alias("w")).alias("x"))
-    form = w.groupBy(*_LINE).agg(F.max("letters").alias("letters"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]), " ").alias("form"))
+    w = words.join(small(written(common)), ["source", "w"], "left").select(*_LINE, F.length("norm").alias("length"), F.struct("at", F.when((F.col("keep") == 1) | ~_may_be_name(F.col("w")), F.col("w")).otherwise(GAP).alias("w")).alias("x"))
+    form = w.groupBy(*_LINE).agg(F.max("length").alias("length"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]), " ").alias("form"))
     form = form.withColumn("form", F.regexp_replace("form", r"(^| )\*(?: \*)+(?= |$)", "$1*")).where(F.regexp_replace("form", r"[\d\s*§]", "") != "")
     # a gap stands for a person, not for most of the line
-    fixed = F.length(F.regexp_replace("form", r"[\s*]", ""))
-    form = written(form.where(~F.col("form").contains(GAP) | (fixed * 2 >= F.col("letters"))).drop("letters"))
+    fixed = F.length(F.regexp_replace("form", r" ?\* ?", ""))
+    form = written(form.where(~F.col("form").contains(GAP) | (fixed * 2 >= F.col("length"))).drop("length"))
     count = form.select("source", "n_books", "form", "doc_id").distinct().groupBy("source", "form").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
     count = written(count)
     filled = count.where((F.col("n") >= _enough("n_books")) & ~F.col("form").contains(GAP)).select("source", "form", F.explode(_with_gap("form")).alias("gapped"))
@@ -206,9 +185,9 @@ _FORMS = T.ArrayType(T.StringType())
 def _with_gap(forms: pd.Series) -> pd.Series:
     def cut(f: str) -> list[str]:
         w = f.split(" ")
-        most = len(f.replace(" ", "")) // 2
+        most = len(f) // 2
         name = [len(x) < (NAME_KANA if re.search("[぀-ヿ]", x) else NAME_HAN if _CJK.search(x) else 99) for x in w]
-        return sorted({" ".join([*w[:i], GAP, *w[j:]]) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w) and all(name[i:j]) and sum(map(len, w[i:j])) <= most})
+        return sorted({" ".join([*w[:i], GAP, *w[j:]]) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w) and all(name[i:j]) and sum(map(len, w[i:j])) + j - i <= most})
 
     return pd.Series([cut(f) for f in forms])
 
