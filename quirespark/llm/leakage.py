@@ -2,10 +2,13 @@
 
 One Aho-Corasick automaton holds stretches of all normalised passages and all
 answers; every document is normalised (case, width, markup, punctuation and
-spacing gone) and scanned once. Stretches that stand in one item only make a
-document a candidate for that item; candidates are then aligned with the whole
-passage in order, allowing changed words and other text between its parts, and
-positions are mapped back to the document's own text.
+spacing gone) and scanned once. Stretches make a document a candidate for the
+passages they stand in; a phrase that several passages share does so only for
+those that have too few stretches of their own. Candidates are then aligned with
+the whole passage in order, allowing changed words and other text between its
+parts, and positions are mapped back to the document's own text. Items with the
+same passage are one class; a passage too short for stretches is looked for as a
+whole.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ SUPPORT = {False: 34, True: 13}
 BAND, MARGIN = 16, 90
 #: The share of a passage a document must hold.
 HALF = 0.5
-#: Items are scanned for in groups of at most so many letters, one automaton (about 100 bytes a letter) each.
-GROUP_LETTERS = 2_000_000
+#: The share of a passage that its stretches must cover before it is aligned.
+SEEN = 0.15
+#: Letters of a passage below which it is a name or a scrap and no case.
+LEAST = {False: 12, True: 6}
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>\n]{0,200}>|&(?:[A-Za-z]{2,10}|#\d{1,6});", re.S)
 _WORD = re.compile(r"[^\W_]+")
@@ -62,37 +67,64 @@ def passage(text: str) -> str:
 
 
 class Scanner:
-    """The automaton and the passages of a group of items."""
+    """The automaton (about 100 bytes a letter of the items) and the passages, by classes of items with the same one."""
 
     def __init__(self, items: list[tuple[int, str, str | None]]):
         import ahocorasick
 
-        self.units: dict[int, list[str]] = {}
-        self.size: dict[int, int] = {}
-        self.wide: dict[int, bool] = {}
-        where: dict[str, set[tuple[int, int]]] = defaultdict(set)
+        self.items: list[list[int]] = []
+        self.units: list[list[str]] = []
+        self.size: list[int] = []
+        self.wide: list[bool] = []
+        classes: dict[str, int] = {}
+        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         answers: dict[str, set[int]] = defaultdict(set)
+        passages: list[str] = []
         for item, text, answer in items:
             body = passage(text)
             p = plain(body)
-            self.units[item], self.size[item] = units(body), len(p)
-            self.wide[item] = len(_WIDE.findall(p)) * 2 > len(p)
-            n, step = STRETCH[self.wide[item]]
-            for i in range(0, max(1, len(p) - n + 1), step):
-                if p[i : i + n]:
-                    where[p[i : i + n]].add((item, i))
             if answer and plain(answer):
                 answers[plain(answer)].add(item)
+            if p in classes:
+                self.items[classes[p]].append(item)
+                continue
+            wide = len(_WIDE.findall(p)) * 2 > len(p)
+            if len(p) < LEAST[wide]:
+                continue
+            classes[p] = len(passages)
+            passages.append(p)
+            self.items.append([item])
+            self.units.append(units(body))
+            self.size.append(len(p))
+            self.wide.append(wide)
+        for k, p in enumerate(passages):
+            n, step = STRETCH[self.wide[k]]
+            # of a short passage, half is no more than a scrap, so it counts as a whole
+            for i in range(0, len(p) - n + 1, step) if len(p) >= 2 * SUPPORT[self.wide[k]] else ():
+                where[p[i : i + n]].append((k, i))
+        own = {s: at for s, at in where.items() if len({k for k, _ in at}) == 1}
+        bare = set(range(len(passages))) - {k for k in range(len(passages)) if self._distinct(k, own, where)}
+        names: dict[str, tuple[tuple[int, int], ...]] = {s: tuple(x for x in at if s in own or x[0] in bare) for s, at in where.items()}
+        whole = {p: k for p, k in classes.items() if len(p) < 2 * SUPPORT[self.wide[k]]}
         self.auto = ahocorasick.Automaton()
-        for s in where.keys() | answers.keys():
-            own = {i for i, _ in where.get(s, ())}
-            # a stretch shared by items (instruction-like phrases) says nothing about one of them
-            self.auto.add_word(s, (len(s), next(iter(own)) if len(own) == 1 else None, min(k for _, k in where[s]) if own else -1, answers.get(s)))
+        for s in {s for s, at in names.items() if at} | answers.keys() | whole.keys():
+            self.auto.add_word(s, (len(s), names.get(s, ()), whole.get(s), answers.get(s)))
         if len(self.auto):
             self.auto.make_automaton()
 
+    def _distinct(self, k: int, own: dict, where: dict) -> bool:
+        """Whether any half of the passage holds enough letters of stretches that no other passage has."""
+        if not hasattr(self, "_covered"):
+            letters: dict[int, set[int]] = defaultdict(set)
+            for s, at in own.items():
+                for c, i in at:
+                    letters[c].update(range(i, i + len(s)))
+            self._covered = {c: len(x) for c, x in letters.items()}
+        need = max(SUPPORT[self.wide[k]], SEEN * self.size[k])
+        return self.size[k] - self._covered.get(k, 0) <= HALF * self.size[k] - need
+
     def candidates(self, p: str) -> tuple[dict[int, list[tuple[int, int]]], set[int]]:
-        """(item -> regions of the normalised text where its stretches lie close, items whose answer stands there).
+        """(class -> regions of the normalised text where its stretches lie close, items whose answer stands there).
 
         Stretches at one offset to the passage support each other; chance matches of common phrases lie scattered.
         """
@@ -100,15 +132,18 @@ class Scanner:
             return {}, set()
         hits: dict[int, list[tuple[int, int, int]]] = {}
         said: set[int] = set()
-        for end, (n, item, at, answers) in self.auto.iter(p):
-            if item is not None:
-                if item in hits:
-                    hits[item].append((end - n + 1, at, n))
+        short: dict[int, list[tuple[int, int]]] = {}
+        for end, (n, at, whole, answers) in self.auto.iter(p):
+            for k, i in at:
+                if k in hits:
+                    hits[k].append((end - n + 1, i, n))
                 else:
-                    hits[item] = [(end - n + 1, at, n)]
+                    hits[k] = [(end - n + 1, i, n)]
+            if whole is not None:
+                short.setdefault(whole, []).append((end - n + 1, end + 1))
             if answers:
                 said |= answers
-        out: dict[int, list[tuple[int, int]]] = {}
+        out: dict[int, list[tuple[int, int]]] = {k: _joined(at, len(p)) for k, at in short.items()}
         for item, own in hits.items():
             need = SUPPORT[self.wide[item]]
             n = STRETCH[self.wide[item]][0]
@@ -130,7 +165,7 @@ class Scanner:
                     for start, _, n in near:
                         regions.append((start - MARGIN, start + n + MARGIN))
                     seen |= own_letters
-            if len(seen) >= max(need, 0.15 * self.size[item]):
+            if len(seen) >= max(need, SEEN * self.size[item]):
                 out[item] = _joined(regions, len(p))
         return out, said
 
@@ -147,8 +182,8 @@ class Scanner:
         for k, regions in got.items():
             at = [i for a, b in regions for i in range(bisect_right(ends, a), min(len(doc), bisect_left(ends, b) + 1))]
             share, a, b = held(self.units[k], [doc[i] for i in at])
-            if share >= HALF:
-                out.append((k, round(share, 4), spans[at[a]][0], spans[at[b]][1], k in said))
+            if share >= (HALF if self.size[k] >= 2 * SUPPORT[self.wide[k]] else 1):
+                out += [(item, round(share, 4), spans[at[a]][0], spans[at[b]][1], item in said) for item in self.items[k]]
         return sorted(out)
 
 
@@ -203,54 +238,36 @@ _FOUND = T.ArrayType(T.StructType([
 ]))
 
 
-def _groups(items: list[tuple[int, str, str | None]]) -> list[list[tuple[int, str, str | None]]]:
-    out: list[list] = [[]]
-    n = 0
-    for x in items:
-        if n and n + len(x[1]) > GROUP_LETTERS:
-            out.append([])
-            n = 0
-        out[-1].append(x)
-        n += len(x[1])
-    return out
-
-
 def leaks(documents: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id, share, start, end, answer): documents that hold at least half of an item's passage.
 
-    Items are held-out tests, a bounded table: they reach the workers in groups of GROUP_LETTERS letters. Every
-    document is scanned whole, where it lies; nothing is shuffled. Null and empty texts hold nothing; items with
-    null text are skipped; an item listed twice counts once.
+    Items are held-out tests, a bounded table: all reach every worker as one automaton. Every document is scanned
+    whole and once, where it lies; nothing is shuffled. Null and empty texts hold nothing; items with null text or a
+    passage of less than LEAST letters are skipped; an item listed twice counts once.
     """
     spark = documents.sparkSession
     rows = {r[0]: (r[0], r[1], r[2]) for r in items.where("text is not null").select("item_id", "text", "answer").orderBy("item_id").toLocalIterator()}
+    shared = spark.sparkContext.broadcast(list(rows.values()))
     d = documents.select("doc_id", F.col(text).alias("text")).where("text is not null")
-    out = None
-    for group in _groups(list(rows.values())):
-        shared = spark.sparkContext.broadcast(group)
-        got = d.select("doc_id", F.explode(_scan(shared)("text")).alias("f")).select("doc_id", "f.*")
-        out = got if out is None else out.unionByName(got)
-    return out
+    return d.select("doc_id", F.explode(_scan(shared)("text")).alias("f")).select("doc_id", "f.*")
 
 
 def _scan(shared):
     def run(texts: pd.Series) -> pd.Series:
-        scanner = _scanner(shared)
+        scanner = scanner_of(shared.value)
         return pd.Series([[dict(zip(("item_id", "share", "start", "end", "answer"), f, strict=True)) for f in scanner.found(t)] for t in texts], dtype=object)
 
     return F.pandas_udf(run, _FOUND)
 
 
-_BUILT: dict[int, Scanner] = {}
+_BUILT: list[tuple[list, Scanner]] = []
 
 
-def _scanner(shared) -> Scanner:
-    key = shared.id if hasattr(shared, "id") else hash(tuple(i for i, _, _ in shared.value))
-    key = hash(tuple(shared.value[:50])) ^ len(shared.value)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Scanner(shared.value)
-    return _BUILT[key]
+def scanner_of(items: list[tuple[int, str, str | None]]) -> Scanner:
+    """The scanner of these items, built once a worker."""
+    if not _BUILT or _BUILT[0][0] is not items and _BUILT[0][0] != items:
+        _BUILT[:] = [(items, Scanner(items))]
+    return _BUILT[0][1]
 
 
 def by_item(found: DataFrame) -> DataFrame:

@@ -41,6 +41,43 @@ def test_table(spark):
     assert L.leaks(docs.where("false"), items).count() == 0
 
 
-def test_groups_cover_all_items():
-    rows = [(i, "x" * 900_000, None) for i in range(7)]
-    assert [r for g in L._groups(rows) for r in g] == rows and len(L._groups(rows)) > 2
+def test_items_that_share_their_passage():
+    body = " ".join(SENTENCES)
+    other = body.replace("pears", "apples")
+    items = [(1, "Read.\n" + body, "a"), (2, "Answer.\n" + body.upper(), "b"), (3, "Say.\n" + other, None)]
+    got = {f[0] for f in L.Scanner(items).found("Intro. " + body)}
+    assert got == {1, 2, 3}  # the third differs in one word
+    half = " ".join(SENTENCES[:4])
+    assert {f[0] for f in L.Scanner(items).found(half)} == {1, 2, 3}
+
+
+def test_shared_phrases_name_no_item_alone():
+    a, b = " ".join(SENTENCES[:4]), " ".join([SENTENCES[0], *SENTENCES[4:]]) + " " + "Only the second one goes on with quite other things to tell at length."
+    s = L.Scanner([(1, "Read.\n" + a, None), (2, "Read.\n" + b, None)])
+    assert s.found(SENTENCES[0]) == [] and {f[0] for f in s.found(a)} == {1} and {f[0] for f in s.found(b)} == {2}
+
+
+def test_short_items_as_a_whole():
+    s = L.Scanner([(1, "Say.\nWhales sleep upright.", None), (2, "Say.\n鲸鱼站着睡觉。", None), (3, "Say.\nWhales", None)])
+    assert {f[0] for f in s.found("It is said: WHALES sleep, upright! More.")} == {1}
+    assert {f[0] for f in s.found("据说鲸鱼站着睡觉，很奇怪。")} == {2}
+    assert s.found("Whales sleep.") == []
+
+
+def test_large_item_sets_are_one_scan(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    items = [(i, "Read.\n" + " ".join(word() for _ in range(4000)), None) for i in range(105)]  # three million letters
+    docs = [(1, items[0][1]), (2, items[-1][1]), (3, "nothing")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = L.leaks(df, spark.createDataFrame(items, "item_id long, text string, answer string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 0), (2, 104)}
+
+
+def test_scanners_are_not_mixed_up():
+    a = [(i, f"Read.\n{SENTENCES[0]} {SENTENCES[1]} {i}", None) for i in range(60)]
+    b = [*a[:59], (59, "Read.\n" + " ".join(SENTENCES[2:]), None)]
+    assert L.scanner_of(a) is L.scanner_of(list(a)) and L.scanner_of(b) is not L.scanner_of(a)
+    assert any(f[0] == 59 for f in L.scanner_of(b).found(" ".join(SENTENCES[2:])))
