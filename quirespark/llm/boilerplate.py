@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,11 +45,13 @@ _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _WORD = re.compile(r"\d+|[぀-ヿ㐀-䶿一-鿿]+|[^\W\d_぀-ヿ㐀-䶿一-鿿]+")
 _NUMBERS = re.compile(r"(?<!\S)\d+(?: \d+)*(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
+_DIGIT = re.compile(r"\d")
 
 
 def words(line: str) -> str:
     """Words in lower case without punctuation, joined by spaces; numbers and dates become one '0'. Han and kana runs stand apart."""
-    return _NUMBERS.sub("0", " ".join(_WORD.findall(line.lower())))
+    got = " ".join(_WORD.findall(line.lower()))
+    return _NUMBERS.sub("0", got) if _DIGIT.search(got) else got
 
 
 def normal_line(line: str, titles: list[str]) -> str:
@@ -63,35 +66,50 @@ def normal_line(line: str, titles: list[str]) -> str:
     return norm if _LETTER.search(norm) else ""
 
 
-#: Lines of a text, each as its number, a space and its words.
-_LINES = T.ArrayType(T.StringType())
+def title_words(title: str) -> str:
+    return words(re.sub(r"^#+\s*", "", consistent_form(title)[0]))
 
 
-@F.pandas_udf(_LINES)
-def _lines(texts: pd.Series, titles: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-
-    def title(t: str) -> str:
-        if t not in known:
-            if len(known) > 5_000:
-                known.clear()
-            known[t] = words(re.sub(r"^#+\s*", "", consistent_form(t)[0]))
-        return known[t]
+def views(source: str, norm: str) -> list[int]:
+    """Beginnings and ends of a line by source, as hashes: whole words with 2**k characters or more, for two values of k.
 
+    Lines that differ in one run of words, of any number, which takes at most half of each, share one of them: what
+    surrounds the run is the same in all, half of it or more stands on one side, and the lines' lengths differ by a
+    factor of two at most, so that they have a k in common.
+    """
+    k = max(0, (len(norm) // 2).bit_length() - 1)
     out = []
-    for text, own in zip(texts, titles, strict=True):
-        if not isinstance(text, str):
-            out.append([])
-            continue
-        forms = sorted({f for t in (own if own is not None else ()) if t and len(f := title(t)) > 1}, key=len, reverse=True)
-        text = consistent_form(text)[0]
-        got = []
-        for i, line in enumerate(text.split("\n")):
-            norm = normal_line(line, forms)
-            if norm:
-                got.append(f"{i + 1} {norm}")
-        out.append(got)
-    return pd.Series(out, dtype=object)
+    for side, line in ((">", norm), ("<", norm[::-1])):
+        for d in (k, max(0, k - 1)):
+            at = line.find(" ", 1 << d)
+            part = line if at < 0 else line[:at]
+            out.append(xxhash.xxh64_intdigest(f"{source}\n{side}{d}\n{part}".encode("utf-8", "surrogatepass")) - (1 << 63))
+    return out
+
+
+#: Lines of a text, each as its number, a space and its words; four views of each, one line after the other.
+_LINES = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("views", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_LINES)
+def _lines(texts: pd.Series, titles: pd.Series, sources: pd.Series) -> pd.DataFrame:
+    known: dict[tuple, list[str]] = {}
+    lines, seen = [], []
+    for text, own, source in zip(texts, titles, sources, strict=True):
+        got, v = [], []
+        if isinstance(text, str):
+            own = tuple(own) if own is not None else ()
+            forms = known.get(own)
+            if forms is None:
+                forms = known[own] = sorted({f for t in own if t and len(f := title_words(t)) > 1}, key=len, reverse=True)
+            for i, line in enumerate(consistent_form(text, letters=True)[0].split("\n"), 1):
+                norm = normal_line(line, forms)
+                if norm:
+                    got.append(f"{i} {norm}")
+                    v += views(source, norm)
+        lines.append(got)
+        seen.append(np.array(v, dtype=np.int64))
+    return pd.DataFrame({"lines": pd.Series(lines, dtype=object), "views": pd.Series(seen, dtype=object)})
 
 
 def titles_of(blocks: DataFrame, book_meta: DataFrame | None) -> DataFrame:
@@ -111,24 +129,12 @@ def books(doc_meta: DataFrame, book_meta: DataFrame | None, blocks: DataFrame) -
     return d.join(size, "source").join(t, "doc_id", "left")
 
 
-def views() -> Column:
-    """Beginnings and ends of a line by source, as hashes: whole words with 2**k characters or more, for two values of k.
-
-    Lines that differ in one run of words, of any number, which takes at most half of each, share one of them: what
-    surrounds the run is the same in all, half of it or more stands on one side, and the lines' lengths differ by a
-    factor of two at most, so that they have a k in common.
-    """
-    k = "greatest(cast(floor(log2(length(norm) / 2)) as int) - {d}, 0)"
-    part = "case when locate(' ', {line}, shiftleft(1, {k}) + 1) > 0 then left({line}, locate(' ', {line}, shiftleft(1, {k}) + 1) - 1) else {line} end"
-    one = [f"xxhash64(source, {side}, {(at := k.format(d=d))}, {part.format(line=line, k=at)})" for side, line in enumerate(("norm", "reverse(norm)")) for d in (0, 1)]
-    return F.expr(f"array_distinct(array({', '.join(one)}))")
-
-
 def normal_lines(blocks: DataFrame, of: DataFrame) -> DataFrame:
-    """(doc_id, ord, block_id, i, m, source, n_books, line_no, norm) of all lines with a letter, i of m in its block; a written table."""
+    """(doc_id, ord, block_id, i, m, source, n_books, views, line_no, norm) of all lines with a letter, i of m in its block; a written table."""
     b = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*SKIP_KINDS) & F.col("text").isNotNull()).select("doc_id", F.col("ord").cast("long") if "ord" in blocks.columns else F.lit(None).cast("long").alias("ord"), "block_id", "text")
-    rows = b.join(small(of), "doc_id").select("doc_id", "ord", "block_id", "source", "n_books", _lines("text", "titles").alias("l"))
-    rows = rows.select("doc_id", "ord", "block_id", "source", "n_books", F.size("l").alias("m"), F.posexplode("l").alias("i", "l")).select("doc_id", "ord", "block_id", "i", "m", "source", "n_books", F.substring_index("l", " ", 1).cast("int").alias("line_no"), F.expr("substr(l, instr(l, ' ') + 1)").alias("norm"))
+    rows = b.join(small(of), "doc_id").select("doc_id", "ord", "block_id", "source", "n_books", _lines("text", "titles", "source").alias("l"))
+    rows = rows.select("doc_id", "ord", "block_id", "source", "n_books", F.size("l.lines").alias("m"), F.col("l.views").alias("v"), F.posexplode("l.lines").alias("i", "l"))
+    rows = rows.select("doc_id", "ord", "block_id", "i", "m", "source", "n_books", F.slice("v", F.col("i") * 4 + 1, F.lit(4)).alias("views"), F.substring_index("l", " ", 1).cast("int").alias("line_no"), F.expr("substr(l, instr(l, ' ') + 1)").alias("norm"))
     return written(rows)
 
 
@@ -154,9 +160,9 @@ def candidates(lines: DataFrame) -> DataFrame:
     3. a form without a gap that alone stands in enough books has the key of the form with a gap in place of some
        of its words, if that occurs: they differ in a person named.
     """
-    seen = lines.select("n_books", F.explode(views()).alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
+    seen = lines.select("n_books", F.explode("views").alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
     often = small(written(seen.where(F.col("n") >= _enough("n_books")).select("v")))
-    pairs = written(lines.select(*_LINE, "norm", F.explode(views()).alias("v")).join(often, "v", "left_semi"))
+    pairs = written(lines.select(*_LINE, "norm", F.explode("views").alias("v")).join(often, "v", "left_semi"))
     held = pairs.select("v", "doc_id", "n_books").distinct().groupBy("v").agg(F.count("*").alias("n"), F.max("n_books").alias("n_books"))
     held = small(written(held.where(F.col("n") >= _enough("n_books")).select("v")))
     some = written(pairs.join(held, "v", "left_semi").drop("v").distinct())

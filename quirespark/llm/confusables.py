@@ -211,13 +211,13 @@ def folded_letters(text: str) -> str:
     return U.normalize("NFC", text.translate(FOLD))
 
 
-def consistent_form(text: str | None) -> tuple[str | None, int, int]:
-    """(form, mixed-script tokens, whole-script look-alike tokens respelled); null stays null, '' stays ''."""
+def consistent_form(text: str | None, letters: bool = False) -> tuple[str | None, int, int]:
+    """(form, mixed-script tokens, whole-script look-alike tokens respelled); null stays null, '' stays ''; see folded_letters."""
     if text is None:
         return None, 0, 0
     if text.isascii():
         return text, 0, 0
-    t = folded(text)
+    t = folded_letters(text) if letters else folded(text)
     if not _DECIDES.search(t) or not _SUSPECT.search(t):
         return t, 0, 0
     main, mixed, whole = _main(t), 0, 0
