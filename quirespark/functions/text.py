@@ -6,6 +6,10 @@ that they mean the same in the JVM's and in RE2's regular expressions.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +131,43 @@ def is_chapter_anchor(text: Column) -> Column:
 def strip_trailing(line: Column) -> Column:
     """Trailing blanks go; exactly two spaces are a hard break and stay."""
     return F.when(line.rlike("(^|[^ \t])  $"), line).otherwise(F.regexp_replace(line, "[ \t]+$", ""))
+
+
+@lru_cache(maxsize=None)
+def compiled(name: str) -> regex.Pattern:
+    """One of the patterns for functions that run line after line in Python; the same expression as in the JVM."""
+    return regex.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", PATTERNS[name]))
+
+
+class Plain:
+    """The predicates of a line for Python strings, from the same patterns."""
+
+    @staticmethod
+    def _has(name: str, s: str) -> bool:
+        return compiled(name).search(s) is not None
+
+    @classmethod
+    def block_start(cls, s: str) -> bool:
+        return cls._has("block_start", s)
+
+    @classmethod
+    def entry_or_note(cls, line: str) -> bool:
+        s = line.strip()
+        return bool(s) and (cls._has("catalog_strong", s) or cls._has("note", s) or cls._has("catalog_weak", s) and not cls._has("sentence_punct", s))
+
+    @classmethod
+    def ends_sentence(cls, s: str) -> bool:
+        return cls._has("end_punct", s)
+
+    @classmethod
+    def layout(cls, line: str) -> bool:
+        s = line.strip()
+        v = "".join(s.split())
+        return bool(s) and not cls.block_start(s) and not cls.ends_sentence(s) and (len(v) < LAYOUT_MAX or cls._has("latin_digit", v))
+
+    @classmethod
+    def keeps_break(cls, line: str) -> bool:
+        s = line.strip()
+        bare = s.lstrip("> \t\u3000") if s.startswith(">") else s
+        verse = bool(bare) and not cls.block_start(bare) and len("".join(bare.split())) <= VERSE_MAX and not cls.ends_sentence(bare)
+        return verse or bool(s) and not cls.block_start(s) and cls.entry_or_note(line)

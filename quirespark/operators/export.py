@@ -16,7 +16,7 @@ RAW_TAGS = (
     "a abbr b big blockquote br center cite code dd del details div dl dt em figcaption figure font h1 h2 h3 h4 h5 h6 hr i img ins kbd li mark ol p pre q "
     "rp rt ruby s samp small span strike strong sub summary sup table tbody td tfoot th thead tr tt u ul var"
 ).split()
-VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
+VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 
 _FENCE = r"```[^\n]*\n(?:[^`]|`{1,2}[^`])*```"
 _MATH = r"\$\$(?:[^$]|\$[^$])+\$\$|\$[^$\n]+\$|\\\[(?:[^\\]|\\[^\]])+\\\]|\\\((?:[^\\]|\\[^)])+\\\)"
@@ -92,9 +92,9 @@ def bold_lines(lines: DataFrame, runs: DataFrame, shortest: int = 4) -> DataFram
 
 
 def heading_depth(md: Column) -> Column:
-    """The deepest heading outside fences, 0 without any."""
+    """The deepest heading outside fences, 1 without any."""
     marks = F.regexp_extract_all(F.regexp_replace(md, r"(?s)```.*?```", ""), F.lit(r"(?m)^(#{1,6})[ \t]"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(marks, F.length)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(marks, F.length)), F.lit(1))
 
 
 def inferred_title(md: Column) -> Column:

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions import text as X
+from ..functions.text import Plain as P
 from ..session import written
 from .metadata import same_title
 
@@ -215,43 +218,70 @@ def joins_across_blocks(blocks: DataFrame, linked: DataFrame | None = None) -> D
     return j.join(e, ["doc_id", "no"], "left").select("doc_id", "block_id", "next_id", F.when(F.col("known"), "proposed").otherwise("suggested").alias("status"))
 
 
-# spacing between Han characters and others, one replacement after the other
+# The characters that count as Chinese text, and what stands before and after a space that goes.
 _CJK = r"\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}“”‘’—…"
+SPACE_PAIRS = (
+    (f"[{_CJK}]", f"[{_CJK}]"), (f"[{_CJK}]", r"\p{Nd}"), (r"\p{Nd}", f"[{_CJK}]"), (f"[{_CJK}]", "<[^>]+>"),
+    ("</?[a-zA-Z]{1,5}>", r"[\x{4e00}-\x{9fff}]"), (f"[{_CJK}]", "[()]"), ("[()]", f"[{_CJK}]"),
+)
+#: Code and formulas within a line: what is in them is content.
+_INLINE = r"(`+).+?\1|\$\$.+?\$\$|(?<!\$)\$(?![\s$])[^$\n]+?(?<!\s)\$(?![\p{Nd}$])"
+
+
+def outside_inline(line: Column, fix) -> Column:
+    """The line with ``fix`` applied to what stands outside inline code and formulas."""
+    parts = F.transform(F.split(line, _INLINE, -1), fix)
+    kept = F.concat(F.regexp_extract_all(line, F.lit(_INLINE), F.lit(0)), F.array(F.lit("")))
+    return F.when(line.rlike("[`$]"), F.array_join(F.flatten(F.zip_with(parts, kept, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(fix(line))
 
 
 def cjk_fixed(line: Column) -> Column:
-    """Spaces between Han characters, and between them and digits or punctuation, go; those around Latin words stay."""
+    """A space between Chinese characters, and between them and digits, tags or parentheses, goes; those around Latin words stay."""
     out = line
-    for a, b in ((f"[{_CJK}]", f"[{_CJK}]"), (f"[{_CJK}]", r"[\p{Nd}]"), (r"[\p{Nd}%]", f"[{_CJK}]")):
-        out = F.regexp_replace(out, rf"(?<={a})[ \t\x0b\x{{a0}}\x{{3000}}]+(?={b})", "")
+    for a, b in SPACE_PAIRS:
+        out = F.regexp_replace(out, f"(?<={a}) (?={b})", "")
     return out
 
 
 def _may_space() -> Column:
-    return F.col("text").rlike(rf"[{_CJK}][ \t\x{{3000}}]") & ~_verse_block() & (F.col("kind") != "heading")
+    return F.col("text").rlike(f"[{_CJK}()>] | [{_CJK}()]")
 
 
-def _space_text() -> Column:
-    fix = lambda s: F.when(X.is_structure_line(s) | X.is_block_start(X.strip(s)) | s.contains("`") | s.contains("$"), s).otherwise(cjk_fixed(s))
+def _space_text(alone: Column) -> Column:
+    """Structure lines and verse stay; so does a line that stands alone between blank lines and looks like a field."""
+    fix = lambda s: F.when(X.is_structure_line(s) | X.is_verse_line(s) | (alone & X.is_layout_line(s)), s).otherwise(outside_inline(s, cjk_fixed))
     return F.array_join(F.transform(_split(), fix), "\n")
 
 
+def _stands_alone(before: Column) -> Column:
+    """Whether a block is one line with blank lines, or nothing, around it; before: the blank space in front of it."""
+    blank = lambda ws: ws.isNull() | (S.count(ws, "\n") > 1)
+    return ~F.col("text").contains("\n") & blank(before) & (blank(F.col("trailer")) | (F.col("trailer") == ""))
+
+
+def _before() -> Column:
+    return F.lag("trailer").over(W.partitionBy("doc_id").orderBy("ord", "block_id"))
+
+
 def cjk_spaces(blocks: DataFrame) -> DataFrame:
-    b = _editable(blocks).where(_may_space()).withColumn("_n", _space_text()).where("_n <> text")
+    b = _editable(blocks.withColumn("_b", _before())).where(_may_space()).withColumn("_n", _space_text(_stands_alone(F.col("_b")))).where("_n <> text")
     return _patch(b, "cjk_spaces", F.col("_n"), confidence="heuristic")
 
 
+_PIECES = r"(?<![A-Za-z])[A-Za-z]{1,4}(?: [A-Za-z]{1,4}){2,}(?![A-Za-z])"
+
+
 def _may_close() -> Column:
-    return F.col("text").rlike(r"[\x{4e00}-\x{9fff}]") & F.col("text").rlike(r"\b[A-Za-z]{1,4}(?: [A-Za-z]{1,4}){2,}\b")
+    return F.col("text").rlike(f"[{_CJK}]") & F.col("text").rlike(_PIECES)
 
 
 def _close_text() -> Column:
-    def fix(s: Column) -> Column:
-        runs = F.regexp_extract_all(s, F.lit(r"\b([A-Za-z]{1,4}(?: [A-Za-z]{1,4}){2,})\b"), F.lit(1))
+    def close(s: Column) -> Column:
+        runs = F.regexp_extract_all(s, F.lit(_PIECES), F.lit(0))
         good = F.filter(runs, lambda r: (F.size(F.filter(F.split(r, " "), lambda p: F.length(p) <= 2)) >= 2) & F.exists(F.split(r, " "), lambda p: F.length(p) >= 3))
-        return F.when(~s.rlike(r"[\x{4e00}-\x{9fff}]") | X.is_structure_line(s), s).otherwise(F.aggregate(good, s, lambda acc, r: F.replace(acc, r, F.replace(r, F.lit(" "), F.lit("")))))
+        return F.aggregate(good, s, lambda acc, r: F.replace(acc, r, F.replace(r, F.lit(" "), F.lit(""))))
 
-    return F.array_join(F.transform(_split(), fix), "\n")
+    return F.array_join(F.transform(_split(), lambda s: F.when(~s.rlike(f"[{_CJK}]") | X.is_structure_line(s), s).otherwise(outside_inline(s, close))), "\n")
 
 
 def ocr_spaces(blocks: DataFrame) -> DataFrame:
@@ -260,23 +290,33 @@ def ocr_spaces(blocks: DataFrame) -> DataFrame:
     return _patch(b, "ocr_spaces", F.col("_n"), confidence="heuristic")
 
 
-def front_matter(blocks: DataFrame, titles: DataFrame, most_blocks: int = 8, most_chars: int = 120) -> DataFrame:
-    """Blocks of the first page that only name the book: few, short, no sentence, no chapter, and one that is the title."""
+def front_matter(blocks: DataFrame, titles: DataFrame, most_blocks: int = 8, most_chars: int = 120, longest: int = 60) -> DataFrame:
+    """Blocks of the first page that only name the book: few, short, no sentence, no chapter, and a heading that is the title.
+
+    Where pages are known (some block is on page 0) the first page ends before the first block of a later one, and
+    fields alone (two or more, a chapter after them) are enough; otherwise it ends before the first chapter's heading.
+    """
     w = W.partitionBy("doc_id").orderBy("ord", "block_id")
-    b = blocks.where(X.strip(F.coalesce(F.col("text"), F.lit(""))) != "").withColumn("later", F.max(F.coalesce((F.col("page_idx") > 0).cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    s = X.strip(F.coalesce(F.col("text"), F.lit("")))
+    b = blocks.where((s != "") & ~X.is_page_mark(s) & ~s.startswith("<!--"))
+    anchor = (F.col("kind") == "heading") & X.is_chapter_anchor(heading_text(F.col("text")))
+    every = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("page_idx") == 0), F.lit(False)).alias("paged"))
+    b = b.join(every, "doc_id").withColumn("anchor", anchor)
+    stop = F.when(F.col("paged"), F.coalesce(F.col("page_idx") > 0, F.lit(False))).otherwise(F.col("anchor") & F.lag("ord").over(w).isNotNull())
+    b = b.withColumn("later", F.max(stop).over(w.rowsBetween(W.unboundedPreceding, 0)))
     b = b.join(titles.select("doc_id", "title").where("title is not null").dropDuplicates(["doc_id"]), "doc_id", "left")
-    first = F.col("later") == 0
-    body = X.visible(F.col("text"))
-    every = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("page_idx") > 0).cast("int")).alias("paged"))
+    first = ~F.col("later")
+    head = F.col("kind") == "heading"
+    nxt = b.where(F.col("later") & head).groupBy("doc_id").agg(F.min_by("anchor", F.struct("ord", "block_id")).alias("chapter_next"))
+    t = X.strip(F.col("text"))
     # titles are compared for the few blocks of the first page only
-    d = b.where(first).withColumn("same", same_title(heading_text(F.col("text")), F.col("title"))).groupBy("doc_id").agg(
-        F.count("*").alias("run"), F.sum(F.length(body)).alias("chars"),
-        F.max((F.length(body) > 60) | X.ends_sentence(X.strip(F.col("text"))) | ~F.col("kind").isin("heading", "text")).alias("prose"),
-        F.max((F.col("kind") == "heading") & X.is_chapter_anchor(heading_text(F.col("text")))).alias("anchor"),
-        F.max("same").alias("match"), F.min(X.is_front_field(heading_text(F.col("text")))).alias("fields"),
-    ).join(every, "doc_id")
-    good = (F.col("n") >= 2) & F.col("run").between(1, most_blocks) & (F.col("run") < F.col("n")) & (F.col("chars") <= most_chars) & ~F.col("prose") & ~F.col("anchor") & (F.col("paged") == 1)
-    good &= F.coalesce(F.col("match"), F.lit(False)) | (F.col("fields") & (F.col("run") >= 2))
+    d = b.where(first).withColumn("same", head & same_title(heading_text(F.col("text")), F.col("title"))).groupBy("doc_id").agg(
+        F.max("n").alias("n"), F.max("paged").alias("paged"), F.count("*").alias("run"), F.sum(F.length(X.visible(F.col("text")))).alias("chars"),
+        F.max((F.length(t) > longest) | X.ends_sentence(t)).alias("prose"), F.max("anchor").alias("chapter"),
+        F.coalesce(F.max("same"), F.lit(False)).alias("match"), F.min(X.is_front_field(t)).alias("fields"),
+    ).join(nxt, "doc_id", "left")
+    good = (F.col("n") >= 2) & F.col("run").between(1, most_blocks) & (F.col("run") < F.col("n")) & (F.col("chars") <= most_chars) & ~F.col("prose") & ~F.col("chapter")
+    good &= F.col("match") | (F.col("paged") & F.col("fields") & (F.col("run") >= 2) & F.coalesce("chapter_next", F.lit(True)))
     hit = b.where(first).join(d.where(good).select("doc_id"), "doc_id", "left_semi")
     return _patch(hit, "front_matter", F.lit(""), delete=F.lit(True))
 
@@ -313,20 +353,131 @@ def _cut_lines(state: DataFrame, i: int, where: Column, kept: Column) -> DataFra
     return _step(s, i, F.when(less & (F.size("_k") > 0), F.array_join("_k", "\n")), less & (F.size("_k") == 0)).drop("_k")
 
 
+def _kept(line: str) -> str:
+    """A line without outer white space, but with its hard break."""
+    return line.strip() + (X.HARD_BREAK if line.endswith("  ") and line.strip() else "")
+
+
+def _goes_on(acc: str, line: str, gap: int, field: bool) -> bool:
+    """Whether a line continues the lines put together so far; field: these are a field on a line of its own."""
+    t = line.strip()
+    if not acc or not t or gap > 1 or field or acc.endswith(X.HARD_BREAK) or gap and P.layout(t):
+        return False
+    if P.block_start(acc) or P.block_start(t) or P.entry_or_note(acc) or P.entry_or_note(t):
+        return False
+    return not P.ends_sentence(acc) and t[0] not in X.START_PUNCT and len("".join(acc.split())) >= X.JOIN_MIN
+
+
+def join_run(run: list[dict]) -> list[tuple[str | None, str | None]]:
+    """(text, trailer) of consecutive blocks after lines that were broken off are joined, within a block and onto linked ones.
+
+    run: dicts with text, trailer, gap (blank lines in front), linked, mark (a page comment, which joins look through) and
+    atomic. A block whose first
+    line continues the one before becomes part of it and has no text left; the blank space after it passes to the comment
+    before it, or else to the block it went into. Lines of verse that follow each other get hard breaks.
+    """
+    texts: list[list[str] | None] = [None] * len(run)
+    trailers: list[str | None] = [b["trailer"] for b in run]
+    gone: set[int] = set()
+    acc, root, field, mark = None, -1, False, None
+    for k, b in enumerate(run):
+        gap = min(b["gap"], 1)
+        if b["mark"]:
+            mark = k
+            continue
+        if b["atomic"] or b["text"] is None:
+            acc, root = None, -1
+            continue
+        for j, line in enumerate(b["text"].split("\n")):
+            t = _kept(line)
+            if acc is not None and (j or b["linked"]) and _goes_on(acc, t, 0 if j else gap, field):
+                sep = " " if acc[-1].isascii() and acc[-1].isalpha() and t[0].isascii() and t[0].isalpha() else ""
+                acc += sep + t
+                texts[root][-1] = acc
+                field = False
+                if not j:
+                    gone.add(k)
+                    trailers[root if mark is None else mark] = "\n" * (min(max(0, (b["trailer"] or "").count("\n") - 1), 1) + 1) if b["trailer"] else b["trailer"]
+            else:
+                if not j:
+                    root = k
+                    texts[k] = []
+                acc, field = t, not j and gap > 0 and P.layout(t)
+                texts[root].append(t)
+        mark = None
+    out: list[tuple[str | None, str | None]] = []
+    for k, b in enumerate(run):
+        rows = texts[k]
+        if rows is None:
+            out.append((None if k in gone else b["text"], trailers[k]))
+            continue
+        keep = [P.keeps_break(t) for t in rows]
+        out.append(("\n".join(t.rstrip() + X.HARD_BREAK if keep[i] and i + 1 < len(rows) and keep[i + 1] else t for i, t in enumerate(rows)), trailers[k]))
+    return out
+
+
+_JOINED = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("trailer", T.StringType())]))
+
+
+@F.pandas_udf(_JOINED)
+def _join_udf(runs: pd.Series) -> pd.Series:
+    return pd.Series([[{"text": t, "trailer": r} for t, r in join_run(list(run))] for run in runs], dtype=object)
+
+
 def _joined_and_broken(state: DataFrame, i: int) -> DataFrame:
-    """join_lines is one patch: lines joined first, then hard breaks between the lines of verse that are left."""
-    s = state.withColumn("_old", F.col("text"))
-    s = s.withColumn("text", F.when(_can_edit() & F.col("text").contains("\n") & (F.col("kind") == "text"), _join_text()).otherwise(F.col("text")))
-    s = s.withColumn("_v", F.when(_can_edit() & F.col("text").contains("\n"), _break_text()).otherwise(F.col("text"))).withColumn("text", F.col("_old"))
-    return _step(s, i, F.when(F.col("_v") != F.col("text"), F.col("_v"))).drop("_v", "_old")
+    """join_lines: blocks that may go on from the one before are runs; only these and blocks of several lines are looked at.
 
+    Column linked tells which blocks have evidence of their own and may be joined onto the one before.
+    """
+    cols = state.columns
+    w = W.partitionBy("doc_id").orderBy("ord", "block_id")
+    lines_ = _split()
+    mark = F.coalesce(X.is_page_mark(F.col("text")), F.lit(False))
+    s = state.withColumn("_p", F.col("text").isNotNull() & ~mark & ~F.coalesce(F.col("kind"), F.lit("")).isin(*ATOMIC))
+    seen = F.when(F.col("text").isNotNull() & ~mark, F.struct("_p", X.strip(F.element_at(lines_, -1)).alias("t")))
+    s = s.withColumn("_q", F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    goes = F.col("_p") & F.col("linked") & F.coalesce(F.col("_q")["_p"] & ~X.ends_sentence(F.col("_q")["t"]) & ~X.is_block_start(F.col("_q")["t"]), F.lit(False))
+    s = s.withColumn("_s", goes | mark | F.col("text").isNull()).withColumn("_r", F.sum((~F.col("_s")).cast("int")).over(w))
+    s = s.withColumn("_g", F.greatest(F.lit(0), S.count(F.coalesce(F.last("trailer", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit("")), "\n") - 1).cast("int"))
+    s = s.withColumn("_m", F.max(goes.cast("int")).over(W.partitionBy("doc_id", "_r")))
+    item = F.struct("ord", "block_id", "text", "trailer", F.col("_g").alias("gap"), F.coalesce("linked", F.lit(False)).alias("linked"), mark.alias("mark"), (~F.col("_p") & ~mark).alias("atomic"), F.struct(*cols).alias("row"))
+    alone = s.where("_m = 0").select(F.array(item).alias("x"), (F.col("_p") & (F.col("text").contains("\n") | (X.strip(F.col("text")) != F.col("text")))).alias("look"))
+    several = s.where("_m = 1").groupBy("doc_id", "_r").agg(F.sort_array(F.collect_list(item)).alias("x")).select("x", F.lit(True).alias("look"))
+    runs = alone.unionByName(several)
+    parts = F.transform("x", lambda x: F.struct(x["text"].alias("text"), x["trailer"].alias("trailer"), x["gap"].alias("gap"), x["linked"].alias("linked"), x["mark"].alias("mark"), x["atomic"].alias("atomic")))
+    runs = runs.withColumn("y", _join_udf(F.when(F.col("look"), parts).otherwise(F.array().cast(parts_type()))))
+    flat = runs.select("look", F.explode(F.arrays_zip("x", "y")).alias("z")).select("z.x.row.*", F.col("z.y.text").alias("_x"), F.col("z.y.trailer").alias("_w"), "look")
+    gone = F.col("look") & F.col("_x").isNull() & F.col("text").isNotNull()
+    new = F.when(F.col("look") & (F.col("_x") != F.col("text")), F.col("_x"))
+    trail = F.when(F.col("look") & (F.col("_w") != F.col("trailer")), F.col("_w"))
+    return _step(flat, i, new, gone, trail).drop("_x", "_w", "look")
+
+
+def parts_type() -> str:
+    return "array<struct<text:string,trailer:string,gap:int,linked:boolean,mark:boolean,atomic:boolean>>"
+
+
+def propose(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[str, ...] = (), linked: DataFrame | None = None) -> DataFrame:
+    """Patches of all enabled rules, each rule on what the rules before it left, with the rule's place in the order."""
+    return run(blocks, titles, disabled, linked)[0]
 
-def propose(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Patches of all enabled rules, each rule on what the rules before it left, with the rule's place in the order.
+
+def cleaned(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[str, ...] = (), linked: DataFrame | None = None) -> DataFrame:
+    """The blocks that are left after all enabled rules, with their texts, levels and trailers; see run."""
+    return run(blocks, titles, disabled, linked)[1].where("text is not null").drop("made", "linked")
+
+
+def run(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[str, ...] = (), linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(patches, state) of all enabled rules one after the other.
 
     Rules of a block's own lines follow each other within the row; the state is written where a rule
-    that looks at the whole document reads it more than once.
+    that looks at the whole document reads it more than once. linked: (doc_id, block_id) of blocks with
+    evidence of their own, which may be joined onto the block before; without it lines are joined within blocks.
     """
+    if linked is None:
+        blocks = blocks.withColumn("linked", F.lit(False))
+    else:
+        blocks = blocks.join(linked.select("doc_id", "block_id").distinct().withColumn("linked", F.lit(True)), ["doc_id", "block_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     known = blocks.select("doc_id", F.lit(None).cast("string").alias("title")).limit(0) if titles is None else titles
     none = F.array().cast(_MADE)
     out: list[DataFrame] = []
@@ -367,7 +518,7 @@ def propose(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[
     made = {
         "page_numbers": lambda b, i: _cut_lines(b, i, _can_edit(), F.filter(_split(), lambda s: ~X.is_page_number(s))),
         "running_heads": heads_gone, "front_matter": front_gone,
-        "cjk_spaces": lambda b, i: _changed(b, i, _can_edit() & _may_space(), _space_text()),
+        "cjk_spaces": lambda b, i: _changed(b.withColumn("_b", _before()), i, _can_edit() & _may_space(), _space_text(_stands_alone(F.col("_b")))).drop("_b"),
         "blank_lines": lambda b, i: _step(b, i, F.lit(None).cast("string"), trailer=F.when(F.col("trailer").rlike("\n{3,}"), S.compress_blank_runs(F.col("trailer")))),
         "trailing_spaces": lambda b, i: _changed(b, i, _can_edit(TRAILING_SKIP), _trim_text()),
         "join_lines": _joined_and_broken,
@@ -383,8 +534,8 @@ def propose(blocks: DataFrame, titles: DataFrame | None = None, disabled: tuple[
         state = made[rule](state, i)
         within = rule not in ("front_matter", "headings", "dup_headings")
     if within:
-        settled(state)
-    return reduce(DataFrame.unionByName, out)
+        state = settled(state)
+    return reduce(DataFrame.unionByName, out), state
 
 
 def missing_images(refs: DataFrame, files: DataFrame | None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..operators import align, cache, export, footnotes, markdown, metadata, patches, planning, quality, rules, structure
+from ..operators import align, cache, cleaning, export, footnotes, markdown, metadata, patches, planning, quality, rules, structure
 from ..session import cut
 from ..streaming import events
 from ..tables import latest, source_key, table
@@ -284,6 +284,21 @@ def q47_policy(spark, d):
     return patches.policy(spark)
 
 
+# whole documents
+def q69_cleaned_documents(spark, d):
+    """Documents after all rules: their sizes before and after, and a hash of the text."""
+    docs = documents(spark, d)
+    done = cleaning.clean_documents(docs)
+    return cleaning.changes(docs, done).join(done.select("doc_id", F.sha2("text", 256).alias("sha256")), "doc_id")
+
+
+def q70_cleaned_blocks(spark, d):
+    """Blocks after all rules, joined across blocks where the next one is linked with a page item."""
+    b = blocks(spark, d)
+    linked = q22_links(spark, d).join(b.select("doc_id", "block_id", "ord"), ["doc_id", "ord"])
+    return rules.cleaned(cut(b), books(spark, d), linked=linked).select("doc_id", "block_id", "kind", "level", "text", "trailer")
+
+
 # representation
 def q48_roundtrip(spark, d):
     r = markdown.roundtrip(documents(spark, d).where("text is not null"))

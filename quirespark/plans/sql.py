@@ -233,7 +233,7 @@ SELECT doc_id, {OR_BOOK(WORK('stem'))} AS work, {OR_BOOK(OUT('stem'))} AS output
 SELECT x.doc_id, href FROM x ANTI JOIN f ON x.doc_id = f.doc_id AND (x.path = f.path OR url_decode(x.path) = f.path) WHERE x.path <> ''""",
     "q62_event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "q63_event_progress": "SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS n FROM events",
-    "q65_outline": f"""SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all({UNF('text')}, {q(r'(?m)^(#{1,6})[ \t]')}, 1), lambda m: length(m))), 0) AS depth,
+    "q65_outline": f"""SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all({UNF('text')}, {q(r'(?m)^(#{1,6})[ \t]')}, 1), lambda m: length(m))), 1) AS depth,
   CASE WHEN regexp_extract(text, {q(TITLE_LINE)}, 1) <> '' THEN regexp_extract(text, {q(TITLE_LINE)}, 1) ELSE regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda s: {strip('s')}), lambda s: s <> '')[1], {q(r'^#+[ \t]*')}, '') END AS title FROM documents WHERE text IS NOT NULL""",
     "q66_bold_lines": f"""WITH {B}, {BOOKS}, r AS (SELECT doc_id, {visible('title')} AS run FROM bk WHERE title IS NOT NULL), l AS (SELECT doc_id, block_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM b WHERE kind = 'text' AND text IS NOT NULL)
 SELECT l.doc_id, block_id, line_no, CASE WHEN hit THEN '**' || s || '**' ELSE line END AS line FROM (SELECT l.*, {strip('line')} AS s, coalesce(length(run) >= 4 AND {strip('line')} <> '' AND NOT {has(strip('line'), r'^(#|>|\||```|<|!\[)')} AND contains({visible(sub(strip('line'), '<[^>]+>'))}, run), false) AS hit FROM l LEFT JOIN r USING (doc_id)) l WHERE hit OR starts_with(line, '**')""",
