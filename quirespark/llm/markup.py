@@ -56,30 +56,30 @@ COMMANDS = frozenset(
 _NODE = re.compile(
     r"""(?P<md_fence>^[ ]{0,3}(?:```|~~~)[^\n]*$)
     |(?P<html_comment><!--.*?-->)
-    |(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]{0,300})?/?>)
+    |(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?/?>)
     |(?P<html_entity>&(?:[A-Za-z][A-Za-z0-9]{1,30}|\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6});)
-    |(?P<latex_quote>``[^`'\n]{1,300}'')
+    |(?P<latex_quote>``[^`'\n]+'')
     |(?P<latex_display>\\[\[\]()])
     |(?P<latex_command>\\[A-Za-z]+\*?)
     |(?P<md_escape>\\[*_`\[\]>~!|-])
     |(?P<latex_escape>\\[&%$\#{}\\,;])
-    |(?P<latex_dollar>\$\$[^$]{1,400}\$\$|\$[^$\n]{1,200}\$)
-    |(?P<wiki_template>\{\{[^{}\n]{1,300}\}\})
-    |(?P<wiki_link>\[\[[^\[\]\n]{1,300}\]\])
-    |(?P<md_image>!\[[^\[\]\n]{0,300}\]\([^()\n]{0,300}\))
-    |(?P<md_link>\[[^\[\]\n]{1,300}\](?:\([^()\s]{1,300}(?:\s"[^"\n]*")?\)|\[[^\[\]\n]{0,60}\]))
-    |(?P<md_note>\[\^[^\[\]\s]{1,20}\](?::(?=\s))?)
-    |(?P<md_definition>^[ ]{0,3}\[[^\[\]\n^]{1,60}\]:[ ]+\S+[ ]*$)
+    |(?P<latex_dollar>\$\$[^$]+\$\$|\$[^$\n]+\$)
+    |(?P<wiki_template>\{\{[^{}\n]+\}\})
+    |(?P<wiki_link>\[\[[^\[\]\n]+\]\])
+    |(?P<md_image>!\[[^\[\]\n]*\]\([^()\n]*\))
+    |(?P<md_link>\[[^\[\]\n]+\](?:\([^()\s]+(?:\s"[^"\n]*")?\)|\[[^\[\]\n]*\]))
+    |(?P<md_note>\[\^[^\[\]\s]+\](?::(?=\s))?)
+    |(?P<md_definition>^[ ]{0,3}\[[^\[\]\n^]+\]:[ ]+\S+[ ]*$)
     |(?P<wiki_quote>'{2,5}(?=[^'\s])[^'\n]*(?:'[^'\n]+)*?'{2,5})
-    |(?P<wiki_heading>^=+[ ]*[^=\n]+?[ ]*=+[ ]*$|(?<=\s)=+\s[^=\n]{1,80}\s=+(?=\s))
+    |(?P<wiki_heading>^=+[ ]*[^=\n]+?[ ]*=+[ ]*$|(?<=\s)=+\s[^=\n]+\s=+(?=\s))
     |(?P<wiki_table>^[ ]*(?:\{\|[^\n]*|\|\}|\|-+[^\n|]*$))
     |(?P<wiki_cell>\|\|)
     |(?P<md_rule>^[ ]{0,3}\|?[ ]*:?-{3,}:?[ ]*(?:\|[ ]*:?-+:?[ ]*)*\|?[ ]*$|^={3,}[ ]*$)
     |(?P<md_row>^[ ]{0,3}\|[^|\n]+\|(?!\|)[^\n]*\|[ ]*$)
-    |(?P<md_code>(?<!`)`[^`\n]{1,200}`(?!`))
-    |(?P<md_strong>\*\*(?=\S)[^*\n]{1,300}?(?<=\S)\*\*|(?<!\w)__(?=\S)[^_\n]{1,300}?(?<=\S)__(?!\w))
-    |(?P<md_strike>~~(?=\S)[^~\n]{1,300}?(?<=\S)~~)
-    |(?P<md_emphasis>(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*(?!\*)|(?<!\w)_(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])_(?!\w))
+    |(?P<md_code>(?<!`)`[^`\n]+`(?!`))
+    |(?P<md_strong>\*\*(?=\S)[^*\n]+?(?<=\S)\*\*|(?<!\w)__(?=\S)[^_\n]+?(?<=\S)__(?!\w))
+    |(?P<md_strike>~~(?=\S)[^~\n]+?(?<=\S)~~)
+    |(?P<md_emphasis>(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?!\*)|(?<!\w)_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?!\w))
     |(?P<md_heading>^[ ]{0,3}\#{1,6}[ \t]+\S[^\n]*$)
     |(?P<wiki_list>^[\#*:;]+(?=[^\s\#*:;])[^\n]*$)
     |(?P<md_quote>^[ ]{0,3}>[ ]?(?=\S)[^\n]*$)
@@ -93,6 +93,7 @@ _WRAPS = {"md_heading", "md_quote", "md_item", "md_number", "wiki_list", "wiki_h
 SIGNS = r"[<&\\$\[{*_`~|#>]|''|(?m)^[ ]*[-+=:;]|(?m)^[ ]{0,3}\d{1,3}[.)] |\s=\s"
 OWN = {"heading": re.compile(r"^#{1,6}[ \t]+"), "list_item": re.compile(r"^[ ]*(?:[-*+]|\d{1,3}[.)])[ \t]+"), "footnote": re.compile(r"^\[\^[^\]\s]+\]:[ \t]?")}
 
+_ARGUMENT = re.compile(r"\{([^{}\n]*)\}")
 _DIGITS = re.compile(r"[\s\d.,;:/–—-]*\Z")
 _MATH = re.compile(r"[\\^_{}=<>+]|^\s*[A-Za-z](?:\s*\(\w\))?\s*$")
 
@@ -208,7 +209,7 @@ def parse(text: str) -> list[Node]:
         elif n.construct == "latex_display":
             key, closes = "\\" + ("[" if n.text[1] in "[]" else "("), n.text[1] in "])"
         elif n.construct == "latex_command" and n.text in ("\\begin", "\\end"):
-            env = re.match(r"\{[^{}\n]{0,40}\}", text[n.end : n.end + 42])
+            env = _ARGUMENT.match(text, n.end)
             key, closes = "env" + (env[0] if env else ""), n.text == "\\end"
         elif n.construct == "md_fence":
             key = "fence"
@@ -305,64 +306,89 @@ class TreeModel:
         return [x[1] for x in belief]
 
 
-# Labelled pages: T stands for words, N for a number, L for a line break; residue in one notation each.
+# Labelled pages: T stands for words, N for a number, L for a line break, X for a name, E and B for an inline and a block
+# element, A for attributes, Y for an entity, K for a command with an argument, M for a formula, w for a file's or variable's
+# name; residue in one notation each. They show every construct where writers put it, drawn from the notations' manuals.
 PAGES = {
     "html": [
-        "T <b>T</b> T", "T <i>T</i>, T", "<em>T</em>", "<strong>T</strong> T", "<p>T</p><p class=\"bN\">T", "<div style=\"margin:N\"><span>T</span>LT</div>", "T<br/>T<br>T", "T<br>",
-        "<hN id='cN'>T</hN>LT", "<ul><li>T</li><li>T<li>T</ul>", "<ol><li>T</li></ol>", "<TABLE><TR><TD>T<TD>N</TABLE>T", "<table><tr><td>T</td><td>N</td></tr></table>", "T<!-- T N -->T",
-        "T&nbsp;T &mdash; T &amp; T", "T &#N; T", "&lt;i&gt;T&lt;/i&gt; T", "T &amp;quot;T&amp;quot; T", "T<sup>N</sup> T", "H<sub>N</sub>O T", "<pre><code>if x &lt; N: go()</code></pre>LT", "<a href=\"#cN\">T</a> T",
-        "T <span class=\"x\">T</span> T", "T&hellip; T", "<blockquote>T</blockquote>", "T <u>T</u> T", "<center>T</center>", "T <img src=\"N.png\"/> T", "<hr>LT", "T &lt; T &gt; T",
+        "T <E>T</E> T", "<E>T</E>", "T<E A>T</E>, T", "<E>T</E> T", "T <E A>T</E>", "<B>T</B>LT", "<B A>T</B> T", "<B A><E>T</E>LT</B>", "T<B>LT", "TL<B A>T", "<B>LTL</B>", "T<br>T", "T<br/>", "T<br />LT",
+        "<hr>LT", "T <img A/> T", "T <img A>", "<ul><li>T</li><li>T<li>T</ul>", "<ol>L<li>T</li>L</ol>", "<TABLE><TR><TD>T<TD>N</TABLE>T", "<table A><tr><th>T</th><td>N</td></tr></table>T", "<dl><dt>T<dd>T</dl>",
+        "T<!-- T -->T", "<!-- N T -->LT", "T Y T", "TYT", "T Y", "YTY T", "TY TY", "<B>Y</B>LT", "<B><E>Y T</E></B>LT", "T<E>N</E> T", "T<E>N</E>T", "<E A>N</E>", "<E A>T</E>: T", "<E><E>T</E></E> T", "T (<E>T</E>) T",
     ],
     "markdown": [
-        "T **T** T", "**T**", "T __T__ T", "~~T~~ T", "T ~~T~~ __T__ T", "T `T` T", "T `w_N` T", "`T`T", "[T](T/T.T) T", "[T](#cN)", "T ![T](T/N.T) T", "T [T][rN] TL[rN]: T/N.T", "### TLT", "## T", "TL# TLT",
-        "TL------------LT", "TL===LT", "TL---LT", "```Lrow = t[N]L```LT", "```pythonLTL```", "> TL> TLT", "> T", "TL- TL- TL  - T", "- TL- T", "TL- TL- T", "TL  - TL  - TLT", "- TL- TL- TLT", "TL* TL* T", "TL1. TL2. T", "| T | T |L|---|:-:|L| N | T |", "T \\* T \\_T\\_ T", "*T*", "*T* T", "T *T* T",
-        "T _T_ T", "### **T**", "T[^N] T", "+ TL+ T", "T **T** T *T* T", "`T` T", "TL> T", "T.\\* T. \\_T\\_",
+        "T **T** T", "**T**", "T __T__ T", "__T__ T", "~~T~~ T", "T ~~T~~", "T `T` T", "T `w_N` T", "`T`", "`T` T", "`T`T", "[T](w/w.N) T", "T [T](w.w)", "T ![T](w/N.w) T", "![T](w.w)", "T [T][w] TL[w]: w/N.w", "[T][N]", "# T", "### TLT", "## TLT", "TL# TLT", "TL## T",
+        "TL---LT", "TL-----LT", "TL===LT", "TL=====LT", "```LT = w_NL```LT", "```wLTLTL```", "~~~LTL~~~LT", "> TL> TLT", "> T", "TL> T", "TL> TLT", "- TL- T", "TL- TL- T", "TL- TL  - TL- T", "TL* TL* T", "* TL* TLT", "+ TL+ T", "TL+ TL+ TLT", "TL1. TL2. T", "1. TL2. TLT", "TL  - TL  - TLT",
+        "| T | T |L|---|---|L| N | T |", "| T | T |L|:--|--:|L| T | T |LT", "T \\* T \\_T\\_ T", "T \\[T\\] T", "T.\\* T", "*T*", "*T* T", "T *T* T", "T _T_ T", "_T_", "### **T**", "**T**: T", "T[^N] T", "T[^w].", "**T** *T*", "T **`T`** T",
     ],
     "wiki": [
-        "== T ==LT", "=== T ===L:TL::T", "=== T ===", "T [[T]] T", "[[T]]", "T [[T|T]] T", "T[[File:wN.png|T|T]]", "TL[[Category:T]]", "{{T|T}} T", "T {{T|T|p=N}} T", "{{T}}", "'''T''' T ''T''", "''T''", "''T'' T", "T ''T'' T", "'''T'''",
-        "{| class=\"tN\"L|-L| T || TL|}", "TL#TL#TL##T", "TL*TL**T", ":TL::T", "T<ref name=\"nN\">T</ref> T", "T<ref>T</ref> T", "T<references/>", "TL;TL:T", "<nowiki>T</nowiki>", "= T =LT",
+        "== T ==LT", "=== T ===", "==T==LT", "= T =LT", "T == T == T", "== T ==L:TL::T", "T [[T]] T", "[[T]]", "[[T]] T", "T [[T|T]] T", "T[[T]]", "T[[File:w.N|T]]", "[[Image:w.w|N|T]] T", "TL[[Category:T]]", "{{T}}", "{{T|T}} T", "T {{T|w=N}} T", "T{{w|T|N}}", "'''T''' T", "T ''T'' T", "''T''", "''T'' T", "T '''T'''",
+        "{| AL|-L| T || TL|}", "{|L! TL|-L| NL|}LT", "TL#TL#T", "TL*TL**TL*T", "*TL*TLT", ":T", ":TL::T", "TL:T", ";TL:T", "TL;TL:T", "T<ref>T</ref> T", "T<ref A>T</ref>", "T<ref A/> T", "T<references/>", "<nowiki>T</nowiki> T", "<gallery>LTL</gallery>",
     ],
     "latex": [
-        "\\emph{T}", "T \\emph{T} T", "T.\\footnote{T} T", "T\\footnotemark{}", "T \\textbf{\\textit{T}} \\ldots{} T", "\\textit{T}T", "\\underline{T} T", "\\begin{itemize}L\\item TL\\item TL\\end{itemize}", "\\begin{quote}T\\end{quote}L\\label{sec:N}",
-        "\\section*{T}LT", "\\subsection{T}", "T $x_{N}^N + y \\le N$ T", "T $E=mc^N$ T", "T $n$ T", "$$a_N = b$$", "T \\(\\frac{a}{N}\\) T", "\\[ \\sum_{i=1}^{N} i \\]LT", "T \\\\ T \\& T \\% T", "``T'' --- T~\\cite{kN}", "T ``T'' T", "T \\cite{kN}.", "T \\ref{fig:N}", "\\chapter{T}",
-        "T \\% T", "T \\& T", "T \\# T",
+        "K", "T K T", "T.K T", "TK", "K T", "KK T", "T \\textbf{K} T", "T \\ldots{} T", "T \\dots T", "\\begin{w}LTL\\end{w}", "\\begin{w}T\\end{w}LT", "\\begin{itemize}L\\item TL\\item TL\\end{itemize}", "TL\\begin{w}L\\item TL\\end{w}LT", "K LT", "TLK", "KLKLT",
+        "T $M$ T", "$M$", "T $M$, T", "T $M$.", "$$M$$", "TL$$M$$LT", "T \\(M\\) T", "\\[ M \\]", "\\[ M \\]LT", "\\[LML\\]", "T \\\\ T", "T \\& T", "T \\% T", "N\\% T", "T \\# N", "T \\$N", "T \\_ T", "``T'' T", "T ``T'' T", "T ``T''", "T~K.", "T --- T~K", "T \\\\ T \\& T \\% T",
     ],
     # signs that the author or the printed page carries
     "": [
         "T. (N < N, N > N) T", "T N < N T", "T <X> T", "<X> T", "T. $N, $N. T", "$N T $N T", "T US$N, US$N", "T N * N * N T", "T.* T", "T * T", "* * *", "* * *LT", "***LT", "T. C:\\w\\wN T", "C:\\wN\\w", "T. = N = T", "= N =", "- N -", "TL- N -LT", "- N -LT",
         "T ~N T, ^N T", "T [N] T", "[N]", "T {N; N} T", "T #N T", "#N", "#N T", "T w_w_N T", "T w_w.w T", "[ T ]", "~ T ~", "-- T --", "— T", "T [T] T", "T & T", "AT&T T", "T & T; T", "T | T", "{T}", "T = T", "T > T", "# N", "· T ·", "T **", "T_N T", "TLN. T", "TLN.LT", "[T.] T",
         "T N/N T", "T ^ T", "T ` T", "TL-- TLT", "T <N> T", "\\wN", "T (T) T", "T #N. T", "T: N * N = N", "T_w_N", "~ T, T ~", "T \\w\\w T", "- T -", "* T *", "_N_", "T*N*N", "T ' T'", "T ''", "N) T", "-N T", "+N T", "T: - N", "* T", "**T",
+        "T TLN. T T", "T TLN. T, TLT", "TLTLN. T TLT", "T TLN. TLT",
     ],
 }
 WORDS = ("the old house", "In the morning, it sings.", "la vieille maison", "ein kleines Kind", "el río", "maçã verde", "тихий двор", "小鸟", "我看见了大树。", "古い家", "ねこは水を見た。", "작은 새", "월요일에 문을 열었다.", "Now it rains", "d'un ami")
 NAMES = ("Morvath", "Tasquin", "布塔", "Zanova", "オスカ", "라림")
+# What the slots of the pages can be, from the notations' manuals.
+INLINE = "b i em strong u s small big sub sup span a q cite code kbd font tt mark".split()
+BLOCK = "p div h1 h2 h3 h4 blockquote center pre section article li td caption address".split()
+ATTRIBUTES = ('class="w"', "id='wN'", 'style="color:w"', 'href="w/N"', 'src="w.w"', 'name="w"', "align=w", 'width="N" height="N"', 'title="w N"')
+SIGNS_OF = "amp lt gt quot nbsp mdash ndash hellip copy eacute laquo raquo ldquo rdquo times".split()
+ARGUED = "emph textbf textit texttt textsc underline footnote section subsection chapter paragraph cite ref label caption title author url".split()
+FORMULAS = ("x_N", "a^N + b^N", "\\frac{N}{b}", "\\sum_{k=N} k", "y = f(x)", "\\alpha \\le \\beta", "n", "p(x)", "\\sqrt{N}", "z < N")
 
 
 #: Slots of a page; words in capitals that hold such letters stay.
-_SLOT = re.compile(r"TABLE|TR|TD|AT&T|US|[TLXN]|\bw\b|w(?=[N_.])")
+_SLOT = re.compile(r"TABLE|TR|TD|AT&T|US|Category|Image|File|C:|[TLXNEBAYKM]|\bw\b|w(?=[N_.])")
 
 
-def _fill(slot: str, rng: random.Random, page: str) -> str:
+def _fill(slot: str, rng: random.Random, held: dict[str, str]) -> str:
+    """What stands for a slot; elements are the same wherever they stand in a page."""
+    if slot in ("E", "B"):
+        return held.setdefault(slot, rng.choice(INLINE if slot == "E" else BLOCK))
+    again = lambda t: re.sub(r"w|N", lambda m: _fill(m.group(), rng, held), t)
     if slot == "T":
         return rng.choice(WORDS)
     if slot == "N":
-        return str(rng.randint(1, 6) if page.startswith("<h") else rng.randint(1, 120))
+        return str(rng.randint(1, 120))
     if slot == "L":
         return "\n"
     if slot == "X":
         return rng.choice(NAMES)
+    if slot == "A":
+        return again(rng.choice(ATTRIBUTES))
+    if slot == "Y":
+        return rng.choice(("&%s;" % rng.choice(SIGNS_OF), "&#%d;" % rng.randint(34, 9000), "&#x%x;" % rng.randint(34, 9000)))
+    if slot == "K":
+        return "\\%s%s{%s}" % (rng.choice(ARGUED), rng.choice(("", "", "*")), rng.choice((rng.choice(WORDS), "fig:%d" % rng.randint(1, 90))))
+    if slot == "M":
+        return re.sub("N", lambda m: str(rng.randint(1, 9)), rng.choice(FORMULAS))
     return rng.choice(("scan", "draft", "page", "item", "files", "node")) if slot == "w" else slot
 
 
-@lru_cache(maxsize=1)
-def trained(pages: int = 6000, seed: int = 11) -> TreeModel:
-    """Potentials counted on generated labelled pages (their number is the bound)."""
+def filled(page: str, rng: random.Random) -> str:
+    held: dict[str, str] = {}
+    return _SLOT.sub(lambda m: _fill(m.group(), rng, held), page)
+
+
+@lru_cache(maxsize=6)
+def trained(pages: int = 6000, seed: int = 11, without: int | None = None) -> TreeModel:
+    """Potentials counted on generated labelled pages (their number is the bound); without: the fifth of the pages held out."""
     rng = random.Random(seed)
     model = TreeModel()
-    kinds = [(n, p) for n, ps in PAGES.items() for p in ps]
+    kinds = [(n, p) for i, (n, p) in enumerate((n, p) for n, ps in PAGES.items() for p in ps) if i % 5 != without]
     for k in range(pages):
         name, page = kinds[k % len(kinds)]
-        text = _SLOT.sub(lambda m: _fill(m.group(), rng, page), page)
+        text = filled(page, rng)
         nodes = parse(text)
         if name:
             labels = [0] + [1] * (len(nodes) - 1)
@@ -372,6 +398,19 @@ def trained(pages: int = 6000, seed: int = 11) -> TreeModel:
     return model
 
 
+def held_out(seed: int = 2, times: int = 5) -> dict[str, float]:
+    """Share of pages judged rightly, by notation ('' for signs of the author), each by a model that never saw its form."""
+    rng = random.Random(seed)
+    right: dict[str, list[bool]] = defaultdict(list)
+    for i, (name, page) in enumerate((n, p) for n, ps in PAGES.items() for p in ps):
+        model = trained(without=i % 5)
+        for _ in range(times):
+            nodes = parse(filled(page, rng))
+            got = {n.notation for n, x in zip(nodes, model.marginals(nodes), strict=True) if n.notation and x > 0.5}
+            right[name].append(got == ({name} if name else set()))
+    return {k: round(sum(v) / len(v), 3) for k, v in right.items()}
+
+
 def _take_own(text: str, kind: str | None) -> str:
     own = OWN.get(kind or "")
     if own is None:
@@ -475,14 +514,15 @@ def clean(text: str | None, kind: str | None, threshold: float = 0.5) -> str | N
         elif c == "latex_display":
             edits.append((n.start, n.end, "$$" if t[1] in "[]" else "$"))
         elif c == "latex_command" and not any(a <= n.start < b for a, b in _formulas(nodes)):
-            arg = re.match(r"\{([^{}\n]*)\}", body[n.end : n.end + 300])
+            arg = _ARGUMENT.match(body, n.end)
+            size = arg.end() - arg.start() if arg else 0
             name = t[1:].rstrip("*")
             if name in ("begin", "end", "label", "ref", "cite", "footnotemark", "citep", "citet", "eqref", "pageref"):
-                edits.append((n.start, n.end + (arg.end() if arg else 0), ""))
+                edits.append((n.start, n.end + size, ""))
             else:
                 edits.append((n.start, n.end, {"item": "- ", "ldots": "…", "section": "# ", "chapter": "# ", "subsection": "## ", "footnote": " ("}.get(name, "")))
                 if arg and name not in ("item",):
-                    edits += [(n.end, n.end + 1, ""), (n.end + arg.end() - 1, n.end + arg.end(), ")" if name == "footnote" else "")]
+                    edits += [(n.end, n.end + 1, ""), (n.end + size - 1, n.end + size, ")" if name == "footnote" else "")]
     edits.sort()
     out, at = [], 0
     for a, b, new in edits:

@@ -58,3 +58,15 @@ def test_table(spark):
     assert M.residue_rows(df.where("false")).count() == 0
     got = {(r.doc_id, r.block_id): r.clean_text for r in M.cleaned(df).collect()}
     assert got[(1, "a")] == "x y" and got[(2, "d")] is None and len(got) == 5
+
+
+def test_forms_never_seen():
+    got = M.held_out()
+    assert all(got[k] >= 0.8 for k in M.NOTATIONS) and got[""] >= 0.6, got
+
+
+def test_long_constructs():
+    long = "a very long text " * 60
+    assert M.notations(f"x $$ y = {'z + ' * 300} 1 $$", "text") == ["latex"]
+    assert M.notations(f"see **{long.strip()}** there", "text") == ["markdown"] and M.notations(f"see [{long.strip()}](w/x.y)", "text") == ["markdown"]
+    assert M.notations(f"see {{{{note|{long}}}}}", "text") == ["wiki"] and M.notations(f'<span title="{long}">x</span>', "text") == ["html"]
