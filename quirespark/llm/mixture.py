@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import base64
 import math
+from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Tokens of a block and of an output shard, about.
 BLOCK_TOKENS, SHARD_TOKENS = 200_000, 4_000_000
 #: Targets are a small table by contract; more rows than this are refused.
-MAX_TARGETS = 100_000
+MAX_TARGETS = 10_000
+#: Nodes at which the splitting tree is handed to tasks.
+SUBTREES = 256
 SEED = 20
 
 _ENCODERS: dict[str, object] = {}
@@ -87,24 +90,58 @@ def quotas(totals: dict[str, int], targets: dict[str, tuple[float, int]], total:
     return {s: min(r * totals[s], size * w / sum_) for s, (w, r) in here.items()}
 
 
+def _halves(a: int, b: int, c: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """(middle, uses of each source in the left half) of a node of the tree; the draw depends on the node only."""
+    m = (a + b) // 2
+    n = int(c.sum())
+    left = n * (m - a) // (b - a)
+    return m, np.random.default_rng([seed, a, b]).multivariate_hypergeometric(c, left, method="marginals") if n else c
+
+
+def _down(a: int, b: int, c: np.ndarray, seed: int, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The nodes of at most ``width`` shards below a node, from the left."""
+    if b - a <= width:
+        yield a, b, c
+    else:
+        m, draw = _halves(a, b, c, seed)
+        yield from _down(a, m, draw, seed, width)
+        yield from _down(m, b, c - draw, seed, width)
+
+
 def split_tree(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     """(shards, sources): block uses of each source in each shard, by recursive multivariate hypergeometric splits."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(counts)), dtype=np.int64)
+    return np.stack([c for _, _, c in _down(0, shards, np.asarray(counts, dtype=np.int64), seed, 1)])
 
-    def go(a: int, b: int, c: np.ndarray) -> None:
-        if b - a == 1:
-            out[a] = c
-            return
-        m = (a + b) // 2
-        n = int(c.sum())
-        left = n * (m - a) // (b - a)
-        draw = rng.multivariate_hypergeometric(c, left, method="marginals") if n else c
-        go(a, m, draw)
-        go(m, b, c - draw)
 
-    go(0, shards, np.asarray(counts, dtype=np.int64))
-    return out
+_CUT = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+
+
+def shard_cuts(spark: SparkSession, names: list[str], counts: list[int], shards: int, seed: int = SEED) -> DataFrame:
+    """(source, shard, lo, hi): a source's dealt uses lo + 1 to hi go to the shard.
+
+    The driver draws the top of the tree, SUBTREES nodes or fewer; the subtrees are drawn in tasks, so the number
+    of shards does not matter to it.
+    """
+    width = max(1, -(-shards // SUBTREES))
+    rows, before = [], np.zeros(len(names), dtype=np.int64)
+    for a, b, c in _down(0, shards, np.asarray(counts, dtype=np.int64), seed, width):
+        rows.append((a, b, c.tolist(), before.tolist()))
+        before = before + c
+    top = spark.createDataFrame(rows, "a long, b long, counts array<bigint>, before array<bigint>").repartition(min(len(rows), 64))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b, c, at in zip(pdf["a"], pdf["b"], pdf["counts"], pdf["before"], strict=True):
+                at = np.asarray(at, dtype=np.int64)
+                for first, last, part in _down(int(a), int(b), np.asarray(c, dtype=np.int64), seed, 64):
+                    leaf = np.stack([x for _, _, x in _down(first, last, part, seed, 1)])
+                    hi = at + leaf.cumsum(axis=0)
+                    k, i = np.nonzero(leaf)
+                    yield pd.DataFrame({"i": i.astype("int32"), "shard": k + first, "lo": (hi - leaf)[k, i], "hi": hi[k, i]})
+                    at = at + part
+
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
+    return top.mapInPandas(draw, _CUT).select(name.alias("source"), "shard", "lo", "hi")
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -142,14 +179,16 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, vo
     uses = {r[0]: r[1] for r in block.groupBy("source").agg(F.sum("uses")).collect()}
     names = sorted(uses)
     shards = max(1, math.ceil(math.fsum(give.values()) / SHARD_TOKENS))
-    leaf = split_tree(np.array([uses[s] for s in names], dtype=np.int64), shards, seed)
-    upto = leaf.cumsum(axis=0)
-    # where each source's dealt uses pass from one shard to the next: sources x shards small integers
-    cuts = F.broadcast(spark.createDataFrame([(s, [int(x) for x in upto[:, i]]) for i, s in enumerate(names)] or [("", [0])], "source string, cuts array<bigint>"))
     dealt = block.withColumn("copy", F.explode(F.sequence(F.lit(1), "uses")))
     deal = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block", "copy"), "block", "copy")
-    dealt = dealt.withColumn("n", F.row_number().over(deal)).join(cuts, "source")
-    dealt = dealt.select("source", "block", "copy", "full", "extra", F.size(F.filter("cuts", lambda c: c < F.col("n"))).alias("shard"))
+    dealt = dealt.withColumn("n", F.row_number().over(deal).cast("long"))
+    if names:
+        # each dealt use has its number in one cut only, so the join spreads evenly
+        cuts = shard_cuts(spark, names, [uses[s] for s in names], shards, seed).select("source", "shard", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("n"))
+        dealt = dealt.join(cuts, ["source", "n"])
+    else:
+        dealt = dealt.withColumn("shard", F.lit(0))
+    dealt = dealt.select("source", "block", "copy", "full", "extra", "shard")
     # a block drawn partly gives its records in hashed order, as far as the quota goes
     inside = W.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id")
     ranked = placed.select("doc_id", "source", "block", "n_tokens").withColumn("upto", F.sum("n_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)))

@@ -12,6 +12,19 @@ def test_tree_is_exact():
     assert (M.split_tree(c, 7, 3) == leaf).all() and M.split_tree(c, 1).tolist() == [c.tolist()]
 
 
+def test_subtrees_in_tasks_are_the_whole_tree(spark, monkeypatch):
+    names, counts = ["a", "b", "c"], [50, 0, 170]
+    for subtrees in (1, 4, 1024):
+        monkeypatch.setattr(M, "SUBTREES", subtrees)
+        leaf = np.zeros((23, 3), dtype=int)
+        seen = {n: [] for n in names}
+        for r in M.shard_cuts(spark, names, counts, 23, 3).collect():
+            leaf[r.shard, names.index(r.source)] = r.hi - r.lo
+            seen[r.source] += range(r.lo + 1, r.hi + 1)
+        assert (leaf == M.split_tree(np.array(counts), 23, 3)).all()
+        assert all(sorted(seen[n]) == list(range(1, c + 1)) for n, c in zip(names, counts, strict=True))
+
+
 def test_quotas():
     t = {"a": (0.5, 1), "b": (0.25, 2), "c": (0.25, 9)}
     assert M.quotas({"a": 100, "b": 100, "c": 100}, t) == {"a": 100.0, "b": 50.0, "c": 50.0}
