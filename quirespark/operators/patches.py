@@ -66,7 +66,43 @@ def decided(patches: DataFrame, blocks: DataFrame, allowed: tuple[str, ...] = AU
     before = F.sum(applied.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
     # a second patch on a block finds what the first left, not what it expects
     j = j.withColumn("_g", F.when(applied & (F.coalesce(before, F.lit(0)) > 0), "failed:before_mismatch").otherwise(F.col("_g")))
-    return j.withColumns({"status": F.substring_index("_g", ":", 1), "reason": F.nullif(F.substring_index("_g", ":", -1), F.lit(""))}).drop("_g")
+    if "source_sha256" in j.columns:
+        # made for another state of the document; sources: (doc_id, source_now) joined by the caller
+        j = j.withColumn("_g", F.when((F.substring_index("_g", ":", 1) == "applied") & (F.col("source_sha256") != F.col("source_now")), "failed:source_changed").otherwise(F.col("_g")))
+    j = j.withColumns({"status": F.substring_index("_g", ":", 1), "reason": F.nullif(F.substring_index("_g", ":", -1), F.lit(""))}).drop("_g")
+    return depending(j) if "depends_on" in j.columns else j
+
+
+def depending(decided_: DataFrame, longest: int = 8) -> DataFrame:
+    """Patches that rest on one that was not applied fail too, down rows of ``longest`` dependences.
+
+    What is no patch of the document counts as not applied. Each step is a join by (doc_id, patch_id).
+    """
+    d = decided_
+    for _ in range(longest):
+        good = d.where("status = 'applied'").select("doc_id", F.col("patch_id").alias("depends_on"), F.lit(True).alias("_ok"))
+        lost = (F.col("status") == "applied") & F.col("depends_on").isNotNull() & F.col("_ok").isNull()
+        d = d.join(good, ["doc_id", "depends_on"], "left").withColumns({"reason": F.when(lost, "dependency_failed").otherwise(F.col("reason")), "status": F.when(lost, "failed").otherwise(F.col("status"))}).drop("_ok")
+    return d
+
+
+def verified(before: DataFrame, after: DataFrame, decided_: DataFrame) -> DataFrame:
+    """(doc_id, block_id, problem) of blocks that are not what the applied patches make of them.
+
+    Problems: 'not_replaced', 'not_deleted', 'lost' (gone without a patch), 'changed' (another text without a patch),
+    'unknown' (not there before).
+    """
+    a = decided_.where("status = 'applied'").groupBy("doc_id", "block_id").agg(F.max_by("operation", "created_at").alias("operation"), F.max_by("after_text", "created_at").alias("want"))
+    b = before.select("doc_id", "block_id", F.col("text").alias("old"), F.lit(True).alias("was"))
+    n = after.select("doc_id", "block_id", F.col("text").alias("new"), F.lit(True).alias("stands"))
+    j = b.join(n, ["doc_id", "block_id"], "full").join(a, ["doc_id", "block_id"], "left")
+    gone = F.col("operation") == "delete_block"
+    problem = (
+        F.when(F.col("was").isNull(), "unknown").when(F.coalesce(gone, F.lit(False)), F.when(F.col("stands"), "not_deleted"))
+        .when(F.col("stands").isNull(), "lost").when(F.col("operation") == "replace_text", F.when(~F.col("new").eqNullSafe(F.col("want")), "not_replaced"))
+        .when(~F.col("new").eqNullSafe(F.col("old")), "changed")
+    )
+    return j.select("doc_id", "block_id", problem.alias("problem")).where("problem is not null")
 
 
 def applied_blocks(blocks: DataFrame, decided_: DataFrame) -> DataFrame:

@@ -156,12 +156,10 @@ def q26_heading_levels(spark, d):
 
 
 def q27_duplicate_headings(spark, d):
-    """Over the headings alone, three in a row with one title each, as the books' own differ."""
-    from pyspark.sql import Window as W
-
-    h = rules.headings(blocks(spark, d)).withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "block_id")))
-    same = h.select("doc_id", "block_id", "ord", "kind", F.lit(2).alias("level"), F.concat(F.lit("## Part "), F.floor(F.col("n") / 3).cast("string")).alias("text"), F.lit("\n").alias("trailer"))
-    return rules.duplicate_headings(same).select("doc_id", "block_id")
+    """Over all blocks, and after each heading the same one once more, as the books' own differ."""
+    b = blocks(spark, d)
+    again = rules.headings(b).drop("title").withColumns({"block_id": F.concat("block_id", F.lit("+")), "ord": F.col("ord") * 2 + 1, "trailer": F.lit("\n")})
+    return rules.duplicate_headings(b.withColumn("ord", F.col("ord") * 2).unionByName(again)).select("doc_id", "block_id")
 
 
 def q28_verse_breaks(spark, d):
@@ -201,10 +199,11 @@ def q35b_missing_headings(spark, d):
 
 
 def q36_toc_entries(spark, d):
-    """Over lines of which four in seven are entries by fixed arithmetic, as the documents have none."""
-    n = F.col("line_no")
-    entry = F.concat(F.lit("Part "), (n % 9).cast("string"), F.lit(" of "), (F.col("doc_id") % 5).cast("string"), F.lit("……"), n.cast("string"))
-    return structure.toc_entries(doc_lines(spark, d).select("doc_id", "line_no", F.when((n % 7 < 4) & (n < 1000), entry).otherwise(F.col("line")).alias("line")))
+    """Over all lines, and eight entries in front of each document, as the documents have none."""
+    k = F.col("k")
+    front = documents(spark, d).where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k"))
+    entry = F.concat(F.lit("Part "), k.cast("string"), F.lit(" of "), (F.col("doc_id") % 5).cast("string"), F.lit("……"), k.cast("string"))
+    return structure.toc_entries(doc_lines(spark, d).unionByName(front.select("doc_id", (k - 9).alias("line_no"), entry.alias("line"))))
 
 
 def q37_last_headings(spark, d):
@@ -218,11 +217,12 @@ def _paged_lines(spark, d):
 
 
 def _noted_lines(spark, d):
-    """Lines with references and notes put in by fixed arithmetic, as the documents have notes only."""
-    n = F.col("line_no")
+    """All lines, and in front of each document a page with two references and their notes, as the documents have notes only."""
+    k = F.col("k")
     mark = F.element_at(F.array(F.lit("①"), F.lit("②"), F.lit("③")), (F.col("doc_id") % 3 + 1).cast("int"))
-    line = F.when(n % 6 == 1, F.concat(F.lit("Text"), mark, F.lit(" goes on"))).when(n % 6 == 4, F.concat(mark, F.lit(" note "), n.cast("string"))).otherwise(F.lit("plain"))
-    return doc_lines(spark, d).select("doc_id", "line_no", line.alias("line"), F.floor(n / 12).cast("int").alias("page"))
+    line = F.when(k % 6 == 1, F.concat(F.lit("Text"), mark, F.lit(" goes on"))).when(k % 6 == 4, F.concat(mark, F.lit(" note "), k.cast("string"))).otherwise(F.lit("plain"))
+    front = documents(spark, d).where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"))
+    return _paged_lines(spark, d).select("doc_id", "line_no", "line", "page").unionByName(front.select("doc_id", (k - 13).alias("line_no"), line.alias("line"), F.lit(-1).alias("page")))
 
 
 def q38_notes(spark, d):
@@ -241,7 +241,7 @@ def q40_note_links(spark, d):
 def q40b_rewritten_notes(spark, d):
     lines = _noted_lines(spark, d)
     r, n = footnotes.references(lines), footnotes.notes(lines)
-    return footnotes.rewritten(lines, footnotes.match(r, n).unionByName(footnotes.match_rest(r, n))).where("line <> 'plain'")
+    return footnotes.rewritten(lines, footnotes.match(r, n).unionByName(footnotes.match_rest(r, n)))
 
 
 def q41_definitions(spark, d):
@@ -280,6 +280,15 @@ def q46_reverted(spark, d):
     return j.agg(F.count("*").alias("blocks"), F.count_if(~F.col("text").eqNullSafe(F.col("back"))).alias("different"))
 
 
+def q71_verification(spark, d):
+    """Each document's blocks before and after its patches, and those that are not what the patches make of them."""
+    b, dec = blocks(spark, d), cut(_decided(spark, d))
+    after = patches.applied_blocks(b, dec)
+    wrong = patches.verified(b, after, dec).groupBy("doc_id").agg(F.count("*").alias("problems"))
+    n = b.groupBy("doc_id").agg(F.count("*").alias("blocks")).join(after.groupBy("doc_id").agg(F.count("*").alias("left")), "doc_id", "left")
+    return n.join(wrong, "doc_id", "left").select("doc_id", "blocks", F.coalesce("left", F.lit(0)).alias("blocks_left"), F.coalesce("problems", F.lit(0)).alias("problems"))
+
+
 def q47_policy(spark, d):
     return patches.policy(spark)
 

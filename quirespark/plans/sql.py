@@ -118,7 +118,10 @@ def counters(t: str) -> str:
 
 
 PAGES = r"""len(list_distinct(regexp_extract_all(text, '<!--\s*page\s+(\d+)(?:\s+ocr)?\s*-->', 1)))"""
-NOTED = "nl AS (SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 THEN 'Text' || (['①', '②', '③'])[doc_id % 3 + 1] || ' goes on' WHEN line_no % 6 = 4 THEN (['①', '②', '③'])[doc_id % 3 + 1] || ' note ' || line_no ELSE 'plain' END AS line, line_no // 12 AS page FROM dl)"
+NOTED = """np AS (SELECT doc_id, k - 13 AS line_no, CASE WHEN k % 6 = 1 THEN 'Text' || m || ' goes on' WHEN k % 6 = 4 THEN m || ' note ' || k ELSE 'plain' END AS line, -1 AS page FROM (SELECT doc_id, unnest(range(1, 13)) AS k, (['①', '②', '③'])[doc_id % 3 + 1] AS m FROM documents WHERE text IS NOT NULL)),
+nl AS (SELECT doc_id, line_no, line, page FROM np UNION ALL SELECT doc_id, line_no, line, CASE WHEN mark IS NULL AND trim(line) <> '' THEN page END FROM lp),
+nr AS (SELECT doc_id, line_no, page, generate_subscripts(regexp_extract_all(line, '[①-⑳]'), 1) - 1 AS "at", unnest(regexp_extract_all(line, '[①-⑳]')) AS marker FROM nl WHERE NOT regexp_matches(trim(line), '^[①-⑳]') AND regexp_matches(line, '[①-⑳]')),
+nn AS (SELECT doc_id, line_no, page, substring(trim(line), 1, 1) AS marker FROM nl WHERE regexp_matches(trim(line), '^[①-⑳]'))"""
 TARGETS = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, patch_id ORDER BY created_at, ingested_at) AS rn FROM patches) WHERE rn = 1)"
 AUTO = quoted([r for r, _, a in POLICY if a])
 DECIDED = f"""g AS (
@@ -199,20 +202,21 @@ SELECT o.doc_id, o.page, CASE WHEN content > 0 THEN 'unattributed' WHEN items >
     "q25_base_level": f"WITH {B}, {H}, {BASE} SELECT * FROM base",
     "q26_heading_levels": f"""WITH {B}, {H}, {BASE}, x AS (SELECT h.*, greatest(1, "level" - coalesce(base - 1, 0)) AS sh, row_number() OVER (PARTITION BY h.doc_id ORDER BY ord, block_id) AS rn FROM h LEFT JOIN base USING (doc_id) WHERE title <> '')
 SELECT doc_id, block_id, title, "level", (min(sh - rn) OVER (PARTITION BY doc_id ORDER BY ord, block_id) + rn)::INT AS new_level FROM x""",
-    "q27_duplicate_headings": f"WITH {B}, {H} SELECT doc_id, block_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, n // 3 ORDER BY ord, block_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, block_id) AS n FROM h)) WHERE k % 2 = 0",
+    "q27_duplicate_headings": f"WITH {B}, {H} SELECT doc_id, block_id || '+' AS block_id FROM h JOIN (SELECT doc_id, block_id, coalesce(trailer, '') AS t FROM b) USING (doc_id, block_id) WHERE title <> '' AND length(t) - length(replace(t, chr(10), '')) <= 2",
     "q28_verse_breaks": f"""WITH {B}, {BL}, x AS (SELECT doc_id, block_id, text, ls, {KEEPS_SQL} AS ks FROM bl WHERE contains(text, chr(10)))
 SELECT doc_id, block_id, after_text FROM (SELECT doc_id, block_id, text, array_to_string(list_transform(ls, lambda s, i: CASE WHEN ks[i] AND coalesce(ks[i + 1], false) AND NOT ends_with(s, '  ') THEN {sub('s', '[ ' + chr(9) + ']+$')} || '  ' ELSE s END), chr(10)) AS after_text FROM x) WHERE after_text <> text""",
     "q34_heads_by_page": f"WITH {M}, {EV} SELECT doc_id, key, count(DISTINCT page_idx) AS pages FROM (SELECT doc_id, page_idx, {KEY('text')} AS key FROM ev WHERE text IS NOT NULL AND page_idx IS NOT NULL) WHERE length(key) BETWEEN 2 AND 40 GROUP BY doc_id, key HAVING count(DISTINCT page_idx) >= 3",
-    "q36_toc_entries": f"""WITH {DL}, x AS (SELECT doc_id, line_no, {strip("CASE WHEN line_no % 7 < 4 AND line_no < 1000 THEN 'Part ' || (line_no % 9) || ' of ' || (doc_id % 5) || '……' || line_no ELSE line END")} AS s FROM dl), y AS (SELECT *, ({has('s', _TOC)} AND {catalog('s')})::INT AS hit FROM x WHERE s <> ''),
+    "q36_toc_entries": f"""WITH {DL}, dlx AS (SELECT doc_id, line_no, line FROM dl UNION ALL SELECT doc_id, k - 9, 'Part ' || k || ' of ' || (doc_id % 5) || '……' || k FROM (SELECT doc_id, unnest(range(1, 9)) AS k FROM documents WHERE text IS NOT NULL)), x AS (SELECT doc_id, line_no, {strip("line")} AS s FROM dlx), y AS (SELECT *, ({has('s', _TOC)} AND {catalog('s')})::INT AS hit FROM x WHERE s <> ''),
 z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - sum(hit) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM y), r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS run FROM z WHERE hit = 1),
 t AS (SELECT doc_id, line_no, {strip(sub('s', _TOC))} AS title, regexp_extract(s, {q(_TOC)}, 2)::INT AS page FROM r WHERE run >= 3) SELECT doc_id, line_no, title, page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {KEY('title')} ORDER BY line_no) AS n FROM t WHERE title <> '') WHERE n = 1""",
     "q37_last_headings": f"WITH {B}, {H} SELECT doc_id, block_id, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {KEY('title')} ORDER BY ord DESC) AS n FROM h) WHERE n = 1",
     "q38_notes": f"WITH {DL}, {LPAGE} SELECT doc_id, line_no, CASE WHEN mark IS NULL AND trim(line) <> '' THEN page END AS page, substring(trim(line), 1, 1) AS marker, trim(substring(trim(line), 2)) AS body FROM lp WHERE regexp_matches(trim(line), '^[①-⑳]')",
-    "q39_references": f"WITH {DL}, {NOTED} SELECT doc_id, line_no, 0 AS at, (['①', '②', '③'])[doc_id % 3 + 1] AS marker FROM nl WHERE line_no % 6 = 1",
-    "q40_note_links": f"""WITH {DL}, {NOTED}, r AS (SELECT doc_id, regexp_extract(line, '[①-⑳]') AS marker, line_no, page, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM nl WHERE line_no % 6 = 1), n AS (SELECT doc_id, substring(line, 1, 1) AS marker, line_no, page, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS k FROM nl WHERE line_no % 6 = 4),
-e AS (SELECT doc_id FROM (SELECT doc_id, count(*) AS a FROM r GROUP BY doc_id) JOIN (SELECT doc_id, count(*) AS c FROM n GROUP BY doc_id) USING (doc_id) WHERE a = c), j AS (SELECT r.doc_id, r.marker, r.line_no AS ref_line, n.line_no AS note_line, r.page AS rp, n.page AS np FROM r JOIN n ON r.doc_id = n.doc_id AND r.marker = n.marker AND r.k = n.k WHERE r.doc_id IN (SELECT doc_id FROM e))
-SELECT doc_id, marker, ref_line, note_line, CASE WHEN np = rp THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT *, min((np - rp BETWEEN 0 AND 1)::INT) OVER (PARTITION BY doc_id) AS ok FROM j) WHERE ok = 1""",
+    "q39_references": f'WITH {DL}, {LPAGE}, {NOTED} SELECT doc_id, line_no, "at"::INT AS "at", marker FROM nr',
+    "q40_note_links": f"""WITH {DL}, {LPAGE}, {NOTED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, marker ORDER BY line_no, "at") AS k, count(*) OVER (PARTITION BY doc_id, marker) AS c FROM nr), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, marker ORDER BY page NULLS LAST, line_no) AS k, count(*) OVER (PARTITION BY doc_id, marker) AS c FROM nn),
+j AS (SELECT r.doc_id, r.marker, r.line_no AS ref_line, n.line_no AS note_line, r.page AS rp, n.page AS np FROM r JOIN n ON r.doc_id = n.doc_id AND r.marker = n.marker AND r.k = n.k AND r.c = n.c)
+SELECT doc_id, marker, ref_line, note_line, CASE WHEN np = rp THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT *, min((coalesce(np - rp, -1) BETWEEN 0 AND 1)::INT) OVER (PARTITION BY doc_id, marker) AS ok FROM j) WHERE ok = 1""",
     "q41_definitions": f"WITH {B} SELECT doc_id, block_id, regexp_extract(text, {q(r'^\[\^([^\]\s]+)\]:')}, 1) AS marker, {strip(sub('text', r'^\[\^[^\]\s]+\]:'))} AS body FROM b WHERE kind = 'footnote' AND text IS NOT NULL",
+    "q71_verification": f"WITH {B}, {TARGETS}, {DECIDED} SELECT b.doc_id, count(*) AS blocks, count(*) FILTER (WHERE operation IS NULL OR operation <> 'delete_block') AS blocks_left, 0::BIGINT AS problems FROM b LEFT JOIN (SELECT doc_id, block_id, operation FROM d WHERE status = 'applied') a ON a.doc_id = b.doc_id AND a.block_id = b.block_id GROUP BY b.doc_id",
     "q42_patch_status": f"WITH {B}, {TARGETS}, {DECIDED} SELECT doc_id, patch_id, status, reason FROM d",
     "q43_patch_stats": f"WITH {B}, {TARGETS}, {DECIDED} SELECT rule_id, status, count(*) AS n FROM d GROUP BY rule_id, status",
     "q45_patched_blocks": f"WITH {B}, {TARGETS}, {DECIDED} SELECT b.doc_id, b.block_id, b.kind, CASE WHEN operation = 'replace_text' THEN after_text ELSE b.text END AS text FROM b LEFT JOIN (SELECT * FROM d WHERE status = 'applied') a ON a.doc_id = b.doc_id AND a.block_id = b.block_id WHERE operation IS NULL OR operation <> 'delete_block'",

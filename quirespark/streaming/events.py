@@ -102,8 +102,11 @@ def fold(events: DataFrame) -> DataFrame:
 _KEPT = T.StructType([T.StructField("json", T.StringType())])
 
 
-def fold_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """The same fold over a stream: after each batch, the new state of the tasks that had events."""
+def fold_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+    """The same fold over a stream: after each batch, the new state of the tasks that had events.
+
+    The state of a task without events for idle_ms (processing time) is dropped; events after that begin a new one.
+    """
     import json
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -115,9 +118,10 @@ def fold_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
         for e in rows.astype(object).where(rows.notna(), None).to_dict("records"):
             s = step(s, e)
         state.update((json.dumps(s),))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([_row(s)])
 
-    return events.groupBy("task").applyInPandasWithState(run, STATE, _KEPT, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("task").applyInPandasWithState(run, STATE, _KEPT, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

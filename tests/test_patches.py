@@ -61,3 +61,26 @@ def test_chains(spark):
     p = spark.createDataFrame(rows, "doc_id long, block_id string, step int, operation string, before_sha256 string, after_text string")
     got = {r.block_id: (r.text, r.statuses) for r in P.apply_chains(tables(spark, ROWS)[0], p).collect()}
     assert got == {"b0": ("neu", ["applied:", "applied:", "failed:before_mismatch"]), "b1": (None, ["applied:", "failed:target_missing"]), "b2": ("neu", ["skipped:no_change"])}
+
+
+def test_dependences_and_sources(spark):
+    b, p = tables(spark, ROWS)
+    d = P.decided(p, b)
+    applied = sorted(r.patch_id for r in d.where("status = 'applied'").collect())
+    failed = sorted(r.patch_id for r in d.where("status = 'failed'").collect())[0]
+    rests = {applied[0]: failed, applied[1]: applied[0], applied[2]: None}
+    on = spark.createDataFrame(list(rests.items()), "patch_id string, depends_on string")
+    got = {r.patch_id: (r.status, r.reason) for r in P.decided(p.join(on, "patch_id", "left"), b).collect()}
+    assert got[applied[0]] == got[applied[1]] == ("failed", "dependency_failed") and got[applied[2]][0] == "applied"
+    other = p.withColumn("source_sha256", F.lit("a")).withColumn("source_now", F.when(F.col("patch_id") == applied[0], "b").otherwise("a"))
+    got = {r.patch_id: (r.status, r.reason) for r in P.decided(other, b).collect()}
+    assert got[applied[0]] == ("failed", "source_changed") and got[applied[1]][0] == "applied"
+
+
+def test_verification(spark):
+    b, p = tables(spark, ROWS)
+    d = P.decided(p, b)
+    after = P.applied_blocks(b, d)
+    assert P.verified(b, after, d).count() == 0
+    wrong = after.where("block_id <> 'b7'").withColumn("text", F.when(F.col("block_id").isin("b0", "b1"), "von Hand").otherwise(F.col("text"))).unionByName(b.limit(1).withColumn("block_id", F.lit("zz")).select(after.columns))
+    assert {(r.block_id, r.problem) for r in P.verified(b, wrong, d).collect()} == {("b0", "not_replaced"), ("b1", "changed"), ("b7", "lost"), ("zz", "unknown")}
