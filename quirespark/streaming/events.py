@@ -102,10 +102,12 @@ def fold(events: DataFrame) -> DataFrame:
 _KEPT = T.StructType([T.StructField("json", T.StringType())])
 
 
-def fold_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def fold_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """The same fold over a stream: after each batch, the new state of the tasks that had events.
 
-    The state of a task without events for idle_ms (processing time) is dropped; events after that begin a new one.
+    For a stream that runs on, give idle_ms: the state of a task without events for so long (processing time) is
+    dropped, and events after that begin a new one. Runs that end when they have read all (availableNow) keep the
+    state in the checkpoint instead, as a query with such a clock never ends by itself.
     """
     import json
 
@@ -118,10 +120,11 @@ def fold_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         for e in rows.astype(object).where(rows.notna(), None).to_dict("records"):
             s = step(s, e)
         state.update((json.dumps(s),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([_row(s)])
 
-    return events.groupBy("task").applyInPandasWithState(run, STATE, _KEPT, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("task").applyInPandasWithState(run, STATE, _KEPT, "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

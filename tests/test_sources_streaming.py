@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert view(last.values()) == WANT and len(out) == 5
 
 
+def test_idle_state_is_dropped(spark, tmp_path):
+    src, out = tmp_path / "in", []
+    src.mkdir()
+
+    def put(i, rows):
+        (tmp_path / "part").write_text("\n".join(map(json.dumps, rows)))
+        os.rename(tmp_path / "part", src / f"{i}.json")
+
+    put(0, RUN[:5])
+    stream = E.fold_stream(E.parse(spark.readStream.text(str(src))), idle_ms=1)
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(240):
+            p = q.lastProgress
+            if out and p and p["stateOperators"] and p["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+            time.sleep(0.25)
+        assert out and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    finally:
+        q.stop()
+
+
 def test_rescaled_and_windows(spark):
     r = spark.range(1).select(*[c.alias(n) for n, c in zip("ab", E.rescaled(F.lit(2), F.lit(3), F.lit(1), F.lit(2)), strict=True)]).collect()[0]
     assert (r.a, r.b) == (1500, 3000)
