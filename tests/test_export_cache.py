@@ -32,7 +32,7 @@ def test_lines_and_outline(spark):
     l = spark.createDataFrame([(1, 1, "ein Wort hier"), (1, 2, "# Wort hier"), (1, 3, "nichts"), (2, 1, "Wort hier"), (1, 4, " Das <u>Wo</u>rt  hier ")], "doc_id int, line_no int, line string")
     r = spark.createDataFrame([(1, "Wort hier"), (1, "ein")], "doc_id int, run string")
     assert {(x.doc_id, x.line_no): x.line for x in E.bold_lines(l, r).collect()} == {(1, 1): "**ein Wort hier**", (1, 2): "# Wort hier", (1, 3): "nichts", (2, 1): "Wort hier", (1, 4): "**Das <u>Wo</u>rt  hier**"}
-    assert out(spark, E.heading_depth, "# a\n### b\n```\n##### c\n```", "x", "") == [3, 0, 0]
+    assert out(spark, E.heading_depth, "# a\n### b\n```\n##### c\n```", "x", "") == [3, 1, 1]
     assert out(spark, E.inferred_title, "x\n# T #\n", "\n  erste\nzweite", "", None) == ["T", "erste", None, None]
 
 
