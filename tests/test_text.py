@@ -1,78 +1,53 @@
-"""Line predicates against plain Python on hand-made and random lines."""
+"""Line predicates on a table of lines, and the same predicates in the JVM and in Python on random ones."""
 
 import random
-import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from quirespark.functions import scalars as S
 from quirespark.functions import text as X
 
-LINES = [
-    "12", " 7 ", "第 7 页", "第8页", "— 9 —", "- 12 -", "1984", "12.", "返回第3页。", "１２", "", "   ", "　", "# Titel", "## ", "- eins", "1. eins", "12) zwei", "123. drei", "1234. vier", "> Zitat", "| a |", "```py", "<!-- page 4-5 ocr -->", "<!-- page 12 -->", "<!-- note -->",
-    "第一章 失踪与疯癫/35", "第五章……204", "本书共 12 章,合计 320", "第一章 绪论 35", "① 同上", "⑳ x", "床前明月光", "床前明月光。", "资本论 · 第一章", "A line with [brackets]", "Er sagte \"ja\"", "ends with hard break  ", "trailing   ", "x \t", "  ", "a" * 41, "12345", "①②", "人民出版社出版 新華書店发行", "> 床前明月光", ">> 疑是地上霜", "一" * 19, "一" * 20, "*", "+ x",
-]
-
-
-def py_strip(s):
-    return s.strip()
-
-
-def py_block_start(s):
-    return s.startswith(X.BLOCK_MARKERS) or bool(re.match(r"^\d{1,3}[.)](\s|$)", s))
-
-
-def py_catalog(line):
-    s = line.strip()
-    if not s:
-        return False
-    if re.search(r"(?:/|\.{2,}|…+|·{2,}|^)\s*\d{1,4}\s*$", s):
-        return True
-    return bool(re.search(r"\s\d{1,3}\s*$", s)) and not any(c in X.SENTENCE_PUNCT for c in s)
-
-
-def py_verse(line):
-    s = line.strip()
-    while s.startswith(">"):
-        s = s[1:].strip()
-    return bool(s) and not py_block_start(s) and len(re.sub(r"\s+", "", s)) <= 18 and s[-1] not in X.END_PUNCT
-
-
-def py_head(s):
-    ok = 0 < len(s) <= 40 and not py_block_start(s) and "[" not in s and "]" not in s and not py_catalog(s) and not re.match("[①-⑳]", s) and s[-1] not in X.END_PUNCT and not s.isdigit()
-    return bool(ok and any(c.isalnum() or re.match("[一-鿿　-〿＀-￯“”‘’—…]", c) for c in s))
+#: Lines by what holds for them: s begins a block, c catalogue entry, v line of verse, h may be a running head, p page number, k keeps its break.
+LINES = {
+    "": ["返回第3页。", "", "   ", "\u3000", "床前明月光。", "A line with [brackets]", "Er sagte \"ja\"", "  ", "a" * 41],
+    "cvk": ["1984", "第一章 失踪与疯癫/35", "第五章……204", "第一章 绪论 35"],
+    "cvpk": ["12", " 7 ", "１２"],
+    "h": ["一" * 19, "一" * 20],
+    "p": ["— 9 —"],
+    "s": ["12.", "# Titel", "## ", "- eins", "1. eins", "12) zwei", "123. drei", "| a |", "```py", "<!-- page 4-5 ocr -->", "<!-- page 12 -->", "<!-- note -->", "+ x"],
+    "sp": ["- 12 -"],
+    "svk": ["> Zitat", "> 床前明月光", ">> 疑是地上霜"],
+    "vhk": ["1234. vier", "本书共 12 章,合计 320", "床前明月光", "资本论 · 第一章", "ends with hard break  ", "trailing   ", "x \t", "人民出版社出版 新華書店发行"],
+    "vhpk": ["第 7 页", "第8页"],
+    "vk": ["① 同上", "⑳ x", "12345", "①②", "*"],
+}
+
+TRAILING = {"trailing   ": "trailing", "x \t": "x", "hard break  ": "hard break  ", "  ": "  ", "   ": "", "a": "a", "": ""}
+
+
+def _flags(spark, lines):
+    c = F.col("line")
+    t = X.strip(c)
+    found = {"s": X.is_block_start(t), "c": X.is_catalog_entry(c), "v": X.is_verse_line(c), "h": X.is_running_head_candidate(t), "p": X.is_page_number(c), "k": X.keeps_break(c)}
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    return [r.f for r in df.select("i", F.concat(*[F.when(v, k).otherwise("") for k, v in found.items()]).alias("f")).orderBy("i").collect()]
 
 
-def py_page_number(s):
-    return bool(re.match(r"^[ \t]*\d{1,3}[ \t]*$", s) or re.match(r"^[ \t]*(?:第\s*\d{1,4}\s*页|[—–-]\s*\d{1,4}\s*[—–-])[ \t]*$", s))
+def test_predicates(spark):
+    lines = [(t, flags) for flags, ts in LINES.items() for t in ts]
+    assert dict(zip([t for t, _ in lines], _flags(spark, [t for t, _ in lines]), strict=True)) == dict(lines)
 
 
-@pytest.fixture(scope="module")
-def got(spark):
+def test_same_in_python(spark):
     rng = random.Random(3)
-    made = ["".join(rng.choice("ab 12.。#>-·…/第页①　\t[]") for _ in range(rng.randint(0, 12))) for _ in range(400)]
-    lines = LINES + made
-    c = F.col("line")
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select(
-        "i", X.strip(c).alias("strip"), X.is_block_start(X.strip(c)).alias("start"), X.is_catalog_entry(c).alias("catalog"), X.is_verse_line(c).alias("verse"), X.is_running_head_candidate(X.strip(c)).alias("head"), X.is_page_number(c).alias("page"), X.strip_trailing(c).alias("trailing"), X.keeps_break(c).alias("keeps"),
-    )
-    return lines, {r.i: r for r in df.collect()}
+    lines = ["".join(rng.choice("ab 12.。#>-·…/第页①\u3000\t[]") for _ in range(rng.randint(0, 12))) for _ in range(400)] + [t for ts in LINES.values() for t in ts]
+    for t, flags in zip(lines, _flags(spark, lines), strict=True):
+        assert (X.Plain.block_start(t.strip()), X.Plain.keeps_break(t)) == ("s" in flags, "k" in flags), repr(t)
 
 
-def test_predicates(got):
-    lines, rows = got
-    for i, s in enumerate(lines):
-        r, t = rows[i], s.strip()
-        assert r.strip == t, repr(s)
-        assert r.start == py_block_start(t), repr(s)
-        assert r.catalog == py_catalog(s), repr(s)
-        assert r.verse == py_verse(s), repr(s)
-        assert r["head"] == py_head(t), repr(s)
-        assert r.page == py_page_number(s), repr(s)
-        assert r["keeps"] == (py_verse(s) or bool(t) and not py_block_start(t) and (py_catalog(s) or bool(re.match("[①-⑳]", t)))), repr(s)
-        want = s if s.endswith("  ") and not s[:-2].endswith((" ", "\t")) else re.sub(r"[ \t]+$", "", s)
-        assert r.trailing == want, repr(s)
+def test_trailing(spark):
+    df = spark.createDataFrame([(t,) for t in TRAILING], "t string")
+    assert {r.t: r.n for r in df.select("t", X.strip_trailing(F.col("t")).alias("n")).collect()} == TRAILING
 
 
 def test_scalars(spark):
